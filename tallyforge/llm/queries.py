@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, jaccard_join, packing
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+}
+SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
+}
