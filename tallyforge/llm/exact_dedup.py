@@ -16,6 +16,7 @@ their names.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from .shared import materialise, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Small states would else take some megabytes of preallocated files each.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -50,6 +55,18 @@ def _place() -> Column:
     )
 
 
+@contextmanager
+def _state_conf(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class StreamingDedup:
     """Keyed dedup state in ``state_dir``; feeding again goes on from what it holds.
 
@@ -72,9 +89,7 @@ class StreamingDedup:
             .groupBy("digest")
             .agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place"))
         )
-        before = self.spark.conf.get(_PROVIDER)
-        self.spark.conf.set(_PROVIDER, ROCKSDB)
-        try:
+        with _state_conf(self.spark):
             query = (
                 stream.writeStream.outputMode("update")
                 .format("noop")
@@ -83,8 +98,6 @@ class StreamingDedup:
                 .start()
             )
             query.awaitTermination()
-        finally:
-            self.spark.conf.set(_PROVIDER, before)
 
     def state(self) -> DataFrame:
         """The state as a table: digest, n, keep (doc_id, file, row)."""
@@ -114,7 +127,8 @@ def exact_dedup(
     text_sha256, keep_file and keep_row (the content locator of the row that stays)."""
     dedup = StreamingDedup(spark, state_dir, key)
     dedup.feed(path)
-    state = materialise(dedup.state(), "dedup-groups")
+    with _state_conf(spark):
+        state = materialise(dedup.state(), "dedup-groups")
     docs = spark.read.parquet(path).select(
         "doc_id",
         normalised(F.col("text")).alias("text"),
