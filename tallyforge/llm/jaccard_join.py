@@ -152,8 +152,9 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _token_rows(k: int, buckets: int):
-    """Packed shingles by bucket. Kind 0: the hashes and how many sets of this task have
-    each; kind 1: which sets those are. A hot shingle is one hash a blob in kind 0."""
+    """Packed shingles by bucket, a blob being what a task holds at a time. Kind 0: the hashes
+    and how many of the blob's sets have each; kind 1: which sets those are, by number; kind
+    2, once a blob: the sets' keys and sizes. A hot shingle is one hash a blob in kind 0."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -172,25 +173,21 @@ def _token_rows(k: int, buckets: int):
             h = np.concatenate(parts)
             order = np.argsort(h, kind="stable")
             h, doc = h[order], np.repeat(np.arange(len(parts)), sizes)[order]
-            ids = np.frombuffer(b"".join(table), dtype="V16")
+            number = (task << 24) + blob
+            blob += 1
             edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-            for bucket in range(buckets):
+            for bucket in np.flatnonzero(np.diff(edge)).tolist():
                 lo, hi = edge[bucket], edge[bucket + 1]
-                if lo == hi:
-                    continue
                 starts = _runs(h[lo:hi])
-                own, at = np.unique(doc[lo:hi], return_inverse=True)
-                number = (task << 24) + blob
-                blob += 1
-                head = len(own).to_bytes(4, "little") + ids[own].tobytes() + _planes(sizes[own].astype(np.uint32))
                 yield batch_of(
                     TOKEN_SCHEMA,
                     [bucket, bucket],
                     [0, 1],
                     [number, number],
-                    [pack_sorted(h[lo:hi][starts[:-1]]), head],
-                    [_pack_small(np.diff(starts)), _pack_small(at)],
+                    [pack_sorted(h[lo:hi][starts[:-1]]), b""],
+                    [_pack_small(np.diff(starts)), _pack_small(doc[lo:hi])],
                 )
+            yield batch_of(TOKEN_SCHEMA, [number % buckets], [2], [number], [b"".join(table)], [_planes(sizes.astype(np.uint32))])
             parts, table, held = [], [], 0
 
         for b in batches:
@@ -214,56 +211,39 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-REPEATED_SCHEMA = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("at", pa.binary()), ("h", pa.binary()), ("df", pa.binary())])
-
+REPEATED_SCHEMA = pa.schema([("blob", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("at", pa.binary()), ("h", pa.binary()), ("df", pa.binary())])
 
-def _repeated_rows(parts: int):
-    """Of a bucket, the shingles that occur twice or more, packed by part of documents."""
 
-    def run(batches):
-        for _, rows in row_groups(batches, ("bucket",)):
-            heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            df = None
-            for r in rows:
-                if r["kind"] == 0:
-                    heads[r["blob"]] = (unpack_sorted(r["a"]), _unpack_small(r["b"]))
-                    continue
-                if df is None:
-                    h = np.concatenate([x for x, _ in heads.values()])
-                    n = np.concatenate([x for _, x in heads.values()])
-                    order = np.argsort(h, kind="stable")
-                    h, n = h[order], n[order]
-                    starts = _runs(h)
-                    total = np.add.reduceat(n, starts[:-1])
-                    df = (h[starts[:-1]][total > 1], total[total > 1])
-                hashes, counts = heads.pop(r["blob"])
-                if not len(df[0]):
-                    continue
-                place = np.minimum(np.searchsorted(df[0], hashes), len(df[0]) - 1)
-                shared = df[0][place] == hashes
-                rows_shared = np.repeat(shared, counts)
-                at = _unpack_small(r["b"])[rows_shared]
-                if not len(at):
-                    continue
-                size = int.from_bytes(r["a"][:4], "little")
-                ids = np.frombuffer(r["a"], dtype="V16", count=size, offset=4)
-                n_of = _unplanes(r["a"][4 + 16 * size :], np.uint32)
-                h = np.repeat(hashes, counts)[rows_shared]
-                freq = np.repeat(df[1][place], counts)[rows_shared]
-                part_of = ids.view(np.uint8).reshape(-1, 16)[:, :4].copy().view(np.uint32).ravel() % parts
-                mine = part_of[at]
-                order = np.argsort(mine, kind="stable")  # hashes stay sorted within a part
-                edge = np.searchsorted(mine[order], np.arange(parts + 1))
-                out: list[list] = [[] for _ in REPEATED_SCHEMA]
-                for p in np.flatnonzero(np.diff(edge)):
-                    pick = order[edge[p] : edge[p + 1]]
-                    own, to = np.unique(at[pick], return_inverse=True)
-                    values = (int(p), ids[own].tobytes(), _planes(n_of[own]), _pack_small(to), pack_sorted(h[pick]), _pack_small(freq[pick]))
-                    for column, v in zip(out, values):
-                        column.append(v)
-                yield batch_of(REPEATED_SCHEMA, *out)
-
-    return run
+def _repeated_rows(batches):
+    """Of a bucket, the shingles that occur twice or more, for each blob that has some."""
+    for _, rows in row_groups(batches, ("bucket",)):
+        heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        df = None
+        for r in rows:
+            if r["kind"] == 0:
+                heads[r["blob"]] = (unpack_sorted(r["a"]), _unpack_small(r["b"]))
+                continue
+            if r["kind"] == 2:
+                yield batch_of(REPEATED_SCHEMA, [r["blob"]], [r["a"]], [r["b"]], [None], [None], [None])
+                continue
+            if df is None:
+                h = np.concatenate([x for x, _ in heads.values()])
+                n = np.concatenate([x for _, x in heads.values()])
+                order = np.argsort(h, kind="stable")
+                h, n = h[order], n[order]
+                starts = _runs(h)
+                total = np.add.reduceat(n, starts[:-1])
+                df = (h[starts[:-1]][total > 1], total[total > 1])
+            hashes, counts = heads.pop(r["blob"])
+            if not len(df[0]):
+                continue
+            place = np.minimum(np.searchsorted(df[0], hashes), len(df[0]) - 1)
+            shared = df[0][place] == hashes
+            if shared.any():
+                at = _unpack_small(r["b"])[np.repeat(shared, counts)]
+                h = np.repeat(hashes[shared], counts[shared])
+                freq = np.repeat(df[1][place][shared], counts[shared])
+                yield batch_of(REPEATED_SCHEMA, [r["blob"]], [None], [None], [_pack_small(at)], [pack_sorted(h)], [_pack_small(freq)])
 
 
 VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("head", pa.int64())])
@@ -271,35 +251,31 @@ VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("tokens", p
 
 def _viable_rows(threshold: tuple[int, int]):
     """Sets with enough repeated shingles for a partner: those shingles, rarest first, and
-    the length of the shortest prefix."""
+    the length of the shortest prefix. A set that is in several blobs is there for each."""
 
     def run(batches):
-        for _, rows in row_groups(batches, ("part",)):
-            ids, sizes, at, h, df, base = [], [], [], [], [], 0
+        for _, rows in row_groups(batches, ("blob",)):
+            doc, h, df = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            ids = n_of = None
             for r in rows:
-                ids.append(np.frombuffer(r["ids"], dtype="V16"))
-                sizes.append(_unplanes(r["sizes"], np.uint32))
-                at.append(_unpack_small(r["at"]) + base)
-                h.append(unpack_sorted(r["h"]))
-                df.append(_unpack_small(r["df"]))
-                base += len(ids[-1])
-            all_ids = np.concatenate(ids)
-            own, first, to = _unique_ids(all_ids)
-            n_of = np.concatenate(sizes)[first].astype(np.int64)
-            doc, h, df = to[np.concatenate(at)], np.concatenate(h), np.concatenate(df)
+                if r["ids"] is not None:
+                    ids = np.frombuffer(r["ids"], dtype="V16")
+                    n_of = _unplanes(r["sizes"], np.uint32).astype(np.int64)
+                else:
+                    doc.append(_unpack_small(r["at"]))
+                    h.append(unpack_sorted(r["h"]))
+                    df.append(_unpack_small(r["df"]))
+            doc, h, df = np.concatenate(doc), np.concatenate(h), np.concatenate(df)
             order = np.lexsort((h, df, doc))
-            doc, h, df = doc[order], h[order], df[order]
-            fresh = np.ones(len(doc), bool)  # the same set may come from several tasks
-            fresh[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-            doc, h = doc[fresh], h[fresh]
-            edge = np.searchsorted(doc, np.arange(len(own) + 1))
+            doc, h = doc[order], h[order]
+            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
             repeated, need = np.diff(edge), needed(n_of, threshold)
             good = np.flatnonzero(repeated >= need)
             for lo in range(0, len(good), 2000):
                 pick = good[lo : lo + 2000]
                 yield batch_of(
                     VIABLE_SCHEMA,
-                    [own[i].tobytes() for i in pick],
+                    [ids[i].tobytes() for i in pick],
                     n_of[pick],
                     [h[edge[i] : edge[i + 1]].tobytes() for i in pick],
                     (repeated - need + 1)[pick],
@@ -475,7 +451,8 @@ def link_classes(
 def _component_rows(threshold: tuple[int, int]):
     def run(batches):
         for (_, i, j), rows in row_groups(batches, ("comp", "i", "j")):
-            rows = sorted(rows, key=lambda r: r["key"])
+            rows = list({r["key"]: r for r in rows}.values())  # a set may come from several blobs
+            rows.sort(key=lambda r: r["key"])
             tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
             n, head = np.array([r["n"] for r in rows]), np.array([r["head"] for r in rows])
             side = np.array([r["block"] for r in rows]) if i != j else None
@@ -502,11 +479,11 @@ def jaccard_classes(
     repeated = (
         tokens.repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind", "blob")
-        .mapInArrow(_repeated_rows(parts), "part int, ids binary, sizes binary, at binary, h binary, df binary")
+        .mapInArrow(_repeated_rows, "blob long, ids binary, sizes binary, at binary, h binary, df binary")
     )
     viable = materialise(
-        repeated.repartition(parts, "part")
-        .sortWithinPartitions("part")
+        repeated.repartition(parts, "blob")
+        .sortWithinPartitions("blob")
         .mapInArrow(_viable_rows(threshold), "key binary, n long, tokens binary, head long"),
         "jaccard-viable",
     )
