@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import audits, games, returns, scoring, statistics, trajectories
+
+_ALL = {}
+for _part in (statistics, audits, scoring, trajectories, returns, games):
+    _ALL |= _part.QUERIES
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
