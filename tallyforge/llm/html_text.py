@@ -30,7 +30,7 @@ from .shared import has_columns
 #: A comment, declaration or processing instruction; an end tag; a start tag with its
 #: attributes (quoted values may hold ">").
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<![a-zA-Z][^>]*(?:>|\Z)"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<\?[^>]*(?:>|\Z)|<[!/](?![a-zA-Z])[^>]*(?:>|\Z)|<![a-zA-Z][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S,
 )
