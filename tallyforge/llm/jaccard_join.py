@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import has_columns, materialise, row_groups, shuffle_partitions
+from .shared import bounded, has_columns, materialise, row_groups, shuffle_partitions
 from .wordhash import NON_SPACE, grams, mix, words
 
 K = 5
 THRESHOLD = (75, 100)
 _DROP = np.uint64(12)
 _SPAN = 52
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 BUCKET = 4_000_000
 BLOCK_DOCS = 8_192
 MAX_LENGTHEN = 8
@@ -127,7 +127,7 @@ DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.bi
 
 def _doc_rows(k: int):
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             n, keys = [], []
             for tokens in shingle_sets(b.column("text"), k):
                 n.append(len(tokens))
@@ -190,7 +190,7 @@ def _token_rows(k: int, buckets: int):
             yield batch_of(TOKEN_SCHEMA, [number % buckets], [2], [number], [b"".join(table)], [_planes(sizes.astype(np.uint32))])
             parts, table, held = [], [], 0
 
-        for b in batches:
+        for b in bounded(batches):
             for tokens in shingle_sets(b.column("text"), k):
                 if not len(tokens) or (key := set_digest(tokens)) in seen:
                     continue

@@ -51,6 +51,24 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     )
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a text column (a row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(lengths.astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def row_groups(
     batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]
 ) -> Iterator[tuple[tuple, Iterator[dict]]]:
