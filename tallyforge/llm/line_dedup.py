@@ -8,7 +8,7 @@ the others are removed. Offsets are characters of the original text.
 Units with fewer than ``min_words`` words stay everywhere: short lines are equal by chance.
 
 The group of a very common unit is merged in each task before anything is exchanged, and the
-join that follows can split it; what comes together is one document's units.
+join that follows is one that Spark can split; what comes together is one document's units.
 
 Defined results: null text has no units; a null doc_id ranks last; repeated rows are
 different documents, the first row ranked first; an empty table gives no rows.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import has_columns
+from .shared import has_columns, materialise, settled
 
 MIN_WORDS = 10
 _BREAKS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
@@ -77,11 +77,12 @@ def repeated_units(rows: DataFrame, kind: str = "line", min_words: int = MIN_WOR
     """Occurrences to remove: rid, start, stop, first_doc_id. ``rows``: rid, doc_id, text."""
     found = rows.mapInArrow(_unit_rows(kind, min_words), UNIT_DDL)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
-    first = (
+    first = materialise(  # as a table: a join of two plain exchanges can split a hot unit
         found.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
         .where("n > 1")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "repeated-units",
     )
     keep = F.col("first")
     later = ~(keep["rid"].eqNullSafe(F.col("rid")) & keep["unit"].eqNullSafe(F.col("unit")))
@@ -129,7 +130,7 @@ def dedup_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS)
     """The documents that lose units: doc_id, n_removed, removed_chars, removed (original
     ranges, and the document where the unit stays), first_doc_ids, text (what is left).
     Documents that aren't listed stay as they are."""
-    rows = has_columns(docs, "doc_id", "text").select(
+    rows = settled(has_columns(docs, "doc_id", "text"), "line-dedup-docs").select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text"
     )
     removed = (

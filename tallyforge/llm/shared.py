@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Operators after which the rows of a partition may come in another order when run again.
+_UNSETTLED = re.compile(
+    r"^[\s:+|-]*~?(?:Repartition|RebalancePartitions|Aggregate|Join|Sort|Window|Deduplicate|Distinct|Sample|GlobalLimit|"
+    r"LocalLimit|Offset|Union|Generate|MapIn|FlatMap|CoGroup|ArrowEval|BatchEval|Except|Intersect)",
+    re.M,
+)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself where it is rows of a table as read, filtered or projected; else a table
+    of it. Row numbers given to it are then the same in every job."""
+    return materialise(df, name) if _UNSETTLED.search(df._jdf.queryExecution().analyzed().toString()) else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
