@@ -12,6 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the least of node and neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(least, "components-least")  # a hub's edges can then be split among tasks
     return (
         both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     )

@@ -524,9 +524,13 @@ def jaccard_classes(
         .sortWithinPartitions("comp", "i", "j")
         .mapInArrow(_component_rows(threshold), "a binary, b binary")
     )
-    classes = connected(links)
+    classes = materialise(connected(links), "jaccard-classes")
     rows = slim.join(classes, "key", "left").withColumn("class", F.coalesce("root", "key"))
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # as tables: Spark can split the joins, and a class may hold any share of the rows
+    rows = materialise(rows.select("doc_id", "n", "class"), "jaccard-rows")
+    least = materialise(
+        rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "jaccard-least"
+    )
     return rows.join(least, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
