@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, materialise, shared_path
+from .shared import batch, has_columns, materialise, settled, shared_path
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
@@ -211,13 +211,14 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0) -> Data
     spark = pages.sparkSession
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
+    pages = settled(has_columns(pages, "page_id", "url", "html"), "warc-pages")
     rows = pages.select(
         F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("rid")
     ).withColumn("key", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "rid", "url"))
     sized = F.octet_length(F.coalesce("html", F.lit(""))) >= revisit_from
     groups = rows.where(sized).groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-    copied = groups.where("n > 1").select("key", "first")
+    copied = materialise(groups.where("n > 1").select("key", "first"), "warc-copied")
     decided = rows.join(copied, "key", "left").select(
         "page_id",
         "url",
