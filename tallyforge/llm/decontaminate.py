@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, has_columns, materialise
+from .shared import batch, bounded, has_columns, materialise
 from .wordhash import ALNUM, grams, words
 
 SPAN = 10
@@ -178,7 +178,7 @@ def _hit_rows(index, only_hits: bool):
 
     def run(batches):
         held = index.value
-        for b in batches:
+        for b in bounded(batches):
             counts, hits = held.hits(b.column("text"))
             at = {r: (ranges, items) for r, ranges, items in hits}
             ids = b.column("doc_id").to_pylist()
@@ -255,7 +255,7 @@ def _merge_blocks(docs: DataFrame, indexes: list) -> DataFrame:
 
 
 def _count_rows(batches):
-    for b in batches:
+    for b in bounded(batches):
         n = words(b.column("text"), ALNUM).count()
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["rid", "n_words"])
 
@@ -268,14 +268,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in range(blocks):
         found = blocked.where(F.col("block") == block).select("item_id", "text").collect()  # bounded: one block
         held = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in found], [r["text"] for r in found]))
-        docs = docs.mapInArrow(_clean_rows(held, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(_clean_rows(held), docs.schema)
     return docs
 
 
-def _clean_rows(index, text: int):
+def _clean_rows(index):
     def run(batches):
-        for b in batches:
-            _, hits = index.value.hits(b.column(text))
+        for b in bounded(batches):
+            _, hits = index.value.hits(b.column("text"))
             keep = np.ones(b.num_rows, bool)
             keep[[r for r, _, _ in hits]] = False
             yield b.filter(pa.array(keep))
