@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import estimate, rank_at, verdict
+from ..functions.stats import estimate, pooled, rank_at, verdict
 
 
 def argmax(values: Column) -> Column:
@@ -105,5 +105,19 @@ def mismatches(left: DataFrame, right: DataFrame, key: list[str], columns: list[
     return both.where(F.col("a").isNull() | F.col("b").isNull() | differ).select(*key)
 
 
+def aggregated(slices: DataFrame) -> DataFrame:
+    """Shard reports (shoe_start, shoe_count, simulation_seed, paired_advantage) as one: the
+    pooled advantage, its interval, the verdict, and whether the slices fit together."""
+    from .trajectory import slice_gaps
+
+    breaks = slice_gaps(slices, "shoe_start", "shoe_count").agg(F.count(F.lit(1)).alias("gaps"))
+    seeds = slices.agg(F.countDistinct("simulation_seed").alias("seeds"), F.sum("shoe_count").alias("shoes"))
+    one = pooled(slices.select("paired_advantage.*"))
+    out = one.join(F.broadcast(breaks)).join(F.broadcast(seeds))  # one row each
+    return out.withColumn("verdict", verdict(F.col("ci_low"), F.col("ci_high"), "model", "control")).withColumn(
+        "fits", (F.col("gaps") == 0) & (F.col("seeds") == 1)
+    )
+
+
 def percentile_rank(rule: str, p: float, n: Column) -> Column:
     return rank_at(rule, p, n)

@@ -450,3 +450,21 @@ QUERIES |= {
     "q_most_common": (most_common, MOST_COMMON),
     "q_durations": (durations, DURATIONS),
 }
+
+
+def baseline_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of 60 shoes scored by the basic and the frequency baseline: overall, by kind
+    and by target."""
+    from ..operators import baselines, evaluation
+
+    rows = rounds.shoe_decisions(rounds.shoes(spark, 60, 20250725).repartition(8, "shoe_id"))
+    split = hashing.split_of(hashing.text_key("shoe_id"))
+    train, held = rows.where(split == "train"), rows.where(split != "train")
+    parts = []
+    for name, scored in (("basic", baselines.basic(held)), ("frequency", baselines.frequency(train, held))):
+        out = evaluation.accuracies(scored, "kind", "target", F.col("prediction") == F.col("target"))
+        parts.append(rounded(out.select(F.lit(name).alias("baseline"), "level", "kind", "target", "rows", "hits", "accuracy")))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES |= {"q_baseline_accuracy": (baseline_accuracy, None)}

@@ -403,6 +403,9 @@ def test_report_slices(spark, tmp_path):
     assert sorted(r["shoe_start"] for r in s.collect()) == [0, 5, 10]
     assert trajectory.slice_gaps(s, "shoe_start", "shoe_count").count() == 0
     assert trajectory.slice_gaps(s.where("shoe_start <> 5"), "shoe_start", "shoe_count").count() == 1
+    whole = evaluation.aggregated(s).first()
+    assert whole["fits"] and whole["sample_count"] == 30 and whole["mean"] == 1 and whole["verdict"] == "model" and whole["shoes"] == 15
+    assert not evaluation.aggregated(s.where("shoe_start <> 5")).first()["fits"]
     pooled = stats.pooled(decisions.breakdown_rows(s), "category", "policy", "bin").collect()
     assert len(pooled) == 1 and pooled[0]["sample_count"] == 30
 
@@ -475,3 +478,33 @@ def test_experiments(spark):
     samples = experiments.composition_samples(rounds.shoes(spark, 3, 1), 4, 2)
     assert samples.where("aggregate(counts, 0, (s, x) -> s + x) <> 312 - visible").count() == 0
     assert samples.count() == 12
+
+
+def test_baselines(spark):
+    from tallyforge.operators import baselines
+
+    d = rounds.shoe_decisions(rounds.shoes(spark, 8, 4)).cache()
+    plays = baselines.basic(d).where("kind = 'play'")
+    assert plays.where("prediction <> target").count() == 0
+    assert baselines.frequency(d, d).where("NOT array_contains(legal, prediction)").count() == 0
+    top = baselines.frequency(d.where("kind = 'bet'"), d.where("kind = 'bet'")).select("prediction").distinct().collect()
+    assert len(top) == 1
+    level = F.when(F.col("kind") == "bet", F.when(F.col("target") == "high", 6).when(F.col("target") == "medium", 4).when(F.col("target") == "low", 2).otherwise(0)).otherwise(0)
+    bets = baselines.counting(d.where("kind = 'bet'").withColumn("c", level), "c")
+    assert bets.where("prediction <> target").count() == 0
+
+
+def test_generation_stops_and_goes_on(spark, tmp_path):
+    from tallyforge.operators import runner
+
+    folder, s = f"file://{tmp_path}/run", rounds.shoes(spark, 6, 9)
+    first = runner.generate(spark, folder, s, rounds.shoe_decisions, {"seed": 9}, 3, limit=2)
+    assert first == {"shards": 3, "resumed": 0, "written": 2, "left": 1}
+    with pytest.raises(ValueError, match="1 of 3 shards"):
+        runner.assemble(spark, folder, s, 3)
+    with pytest.raises(ValueError, match="another dataset"):
+        runner.generate(spark, folder, s, rounds.shoe_decisions, {"seed": 10}, 3)
+    assert runner.generate(spark, folder, s, rounds.shoe_decisions, {"seed": 9}, 3)["written"] == 1
+    rows = runner.assemble(spark, folder, s, 3)
+    whole = rounds.shoe_decisions(s)
+    assert rows.exceptAll(whole).count() == 0 and whole.exceptAll(rows).count() == 0
