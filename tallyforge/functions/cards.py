@@ -45,7 +45,7 @@ def outcome(player: Column, dealer: Column, surrendered: Column, from_split: Col
         F.when(surrendered, "surrender")
         .when(mine > 21, "bust")
         .when(is_natural(dealer), F.when(natural, "push").otherwise("loss"))
-        .when(natural, "blackjack")
+        .when(natural, "natural")
         .when((theirs > 21) | (mine > theirs), "win")
         .when(mine == theirs, "push")
         .otherwise("loss")
@@ -56,7 +56,7 @@ def profit(result: Column, wager: Column) -> Column:
     return (
         F.when(result == "surrender", -wager / 2)
         .when(result.isin("bust", "loss"), -wager)
-        .when(result == "blackjack", wager * 1.5)
+        .when(result == "natural", wager * 1.5)
         .when(result == "win", wager)
         .otherwise(wager * 0)
     )

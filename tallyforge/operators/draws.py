@@ -39,7 +39,7 @@ def opening_draws(shoe: DataFrame) -> DataFrame:
 
 
 def hole_allowed(card: Column, upcard: Column, peeked: bool) -> Column:
-    """After a peek without blackjack an ace hides no ten and a ten no ace."""
+    """After a peek without a natural an ace hides no ten and a ten no ace."""
     if not peeked:
         return F.lit(True)
     return ~(((upcard == 1) & (card == 10)) | ((upcard == 10) & (card == 1)))

@@ -139,7 +139,7 @@ def paired_shoes(shoe_rows: DataFrame, flat: float = 0.001) -> DataFrame:
 def settled(hands: DataFrame, dealer: DataFrame) -> DataFrame:
     """Return distribution of finished hands (key, total, wager) against dealer outcomes
     (outcome, p; seven rows): key, x, p."""
-    score = F.when(F.col("outcome").isin("bust"), 0).when(F.col("outcome") == "blackjack", 99).otherwise(F.col("outcome").try_cast("int"))
+    score = F.when(F.col("outcome").isin("bust"), 0).when(F.col("outcome") == "natural", 99).otherwise(F.col("outcome").try_cast("int"))
     rows = hands.crossJoin(F.broadcast(dealer.withColumn("score", score)))  # seven rows
     x = F.when(F.col("total") > 21, -F.col("wager")).when(F.col("total") > F.col("score"), F.col("wager")).when(F.col("total") == F.col("score"), F.lit(0.0)).otherwise(-F.col("wager"))
     return rows.groupBy("key", x.alias("x")).agg(F.sum("p").alias("p"))

@@ -58,7 +58,7 @@ def _hole_ok(card: int, upcard: int, peeked: bool) -> bool:
 
 @lru_cache(maxsize=400_000)
 def dealer_distribution(counts: tuple[int, ...], upcard: int, peeked: bool = False) -> tuple[float, ...]:
-    """Chances of 17..21, bust and blackjack over all hole cards that are possible."""
+    """Chances of 17..21, bust and a natural over all hole cards that are possible."""
     eligible = sum(n for c, n in enumerate(counts, 1) if _hole_ok(c, upcard, peeked))
     if not eligible:
         raise ValueError("no hole card is possible")
@@ -110,8 +110,8 @@ def _hit_value(counts: tuple[int, ...], hard: int, aces: int, upcard: int) -> fl
 
 
 def action_values(counts: tuple[int, ...], hand: tuple[int, ...], upcard: int) -> dict[str, float]:
-    """Exact values, in wagers, of stand, hit, double and surrender after a peek without
-    blackjack; ``counts`` are the cards left, hand and upcard gone."""
+    """Exact values, in wagers, of stand, hit, double and surrender after a peek without a
+    natural; ``counts`` are the cards left, hand and upcard gone."""
     hard, aces = sum(hand), sum(c == 1 for c in hand)
     out = {"hit": _hit_value(counts, hard, aces, upcard), "stand": stand_value(counts, _total(hard, aces)[0], upcard)}
     if len(hand) == 2:
@@ -127,7 +127,7 @@ def dealer_distributions(states: DataFrame) -> DataFrame:
     """States (state, counts array<int>, upcard, peeked) -> state, outcome, p."""
 
     def run(frames):
-        names = ("17", "18", "19", "20", "21", "bust", "blackjack")
+        names = ("17", "18", "19", "20", "21", "bust", "natural")
         for f in frames:
             rows = [
                 (s, n, p)

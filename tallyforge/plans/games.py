@@ -72,9 +72,9 @@ def settlement(spark: SparkSession, d: str) -> DataFrame:
 SETTLEMENT = f"""WITH {_H},
 n AS (SELECT *, two AND total = 21 AND NOT from_split AS nat, dtotal = 21 AS dnat FROM t),
 o AS (SELECT CASE WHEN surrendered THEN 'surrender' WHEN total > 21 THEN 'bust' WHEN dnat THEN CASE WHEN nat THEN 'push' ELSE 'loss' END
-  WHEN nat THEN 'blackjack' WHEN dtotal > 21 OR total > dtotal THEN 'win' WHEN total = dtotal THEN 'push' ELSE 'loss' END AS outcome FROM n)
-SELECT outcome, count(*)::BIGINT AS hands, round(count(*) * CASE outcome WHEN 'surrender' THEN -1 WHEN 'bust' THEN -2 WHEN 'loss' THEN -2 WHEN 'blackjack' THEN 3 WHEN 'win' THEN 2 ELSE 0 END::DOUBLE, 6) AS profit,
-  round(count(*) * CASE outcome WHEN 'surrender' THEN 1 WHEN 'bust' THEN 0 WHEN 'loss' THEN 0 WHEN 'blackjack' THEN 5 WHEN 'win' THEN 4 ELSE 2 END::DOUBLE, 6) AS payout FROM o GROUP BY 1
+  WHEN nat THEN 'natural' WHEN dtotal > 21 OR total > dtotal THEN 'win' WHEN total = dtotal THEN 'push' ELSE 'loss' END AS outcome FROM n)
+SELECT outcome, count(*)::BIGINT AS hands, round(count(*) * CASE outcome WHEN 'surrender' THEN -1 WHEN 'bust' THEN -2 WHEN 'loss' THEN -2 WHEN 'natural' THEN 3 WHEN 'win' THEN 2 ELSE 0 END::DOUBLE, 6) AS profit,
+  round(count(*) * CASE outcome WHEN 'surrender' THEN 1 WHEN 'bust' THEN 0 WHEN 'loss' THEN 0 WHEN 'natural' THEN 5 WHEN 'win' THEN 4 ELSE 2 END::DOUBLE, 6) AS payout FROM o GROUP BY 1
 """
 
 _BASIC = """CASE
@@ -379,7 +379,7 @@ def dealer_settlement(spark: SparkSession, d: str) -> DataFrame:
     """Returns of finished totals against fixed dealer chances."""
     from ..operators import experiments
 
-    chances = [("17", 0.14), ("18", 0.14), ("19", 0.13), ("20", 0.18), ("21", 0.07), ("bust", 0.29), ("blackjack", 0.05)]
+    chances = [("17", 0.14), ("18", 0.14), ("19", 0.13), ("20", 0.18), ("21", 0.07), ("bust", 0.29), ("natural", 0.05)]
     dealer = spark.createDataFrame(chances, "outcome string, p double")
     p = load(spark, d, "part", "p_partkey", "p_size")
     hands = p.select(F.col("p_partkey").alias("key"), (F.col("p_size") % 12 + 12).alias("total"), F.when(F.col("p_size") % 2 == 0, 2.0).otherwise(1.0).alias("wager"))

@@ -126,7 +126,7 @@ def test_settlement(spark):
         o = cards.outcome(p, d, F.lit(gone), F.lit(split))
         return one(spark, o), one(spark, cards.profit(o, F.lit(2.0))), one(spark, cards.payout(o, F.lit(2.0)))
 
-    assert settle([1, 10], [10, 9]) == ("blackjack", 3, 5)
+    assert settle([1, 10], [10, 9]) == ("natural", 3, 5)
     assert settle([1, 10], [10, 9], split=True) == ("win", 2, 4)
     assert settle([1, 10], [1, 10]) == ("push", 0, 2)
     assert settle([10, 9], [1, 10]) == ("loss", -2, 0)
@@ -176,7 +176,7 @@ def test_dealer_against_exhaustive_fractions():
             less = counts[:k] + (counts[k] - 1,) + counts[k + 1 :]
             for o, p in play(less, [6, k + 1]).items():
                 want[o] = want.get(o, 0) + p * Fraction(counts[k], sum(counts))
-    got = dict(zip(("17", "18", "19", "20", "21", "bust", "blackjack"), rounds.dealer_distribution(counts, 6)))
+    got = dict(zip(("17", "18", "19", "20", "21", "bust", "natural"), rounds.dealer_distribution(counts, 6)))
     for o in got:
         assert got[o] == pytest.approx(float(want.get(o, 0)))
 
