@@ -22,13 +22,16 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_path
+from .shared import materialise, shared_path, sized
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Small states would else take some megabytes of preallocated files each.
+#: Small states would else take some megabytes of preallocated files each; all states of an
+#: executor share one bound of native memory.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 
@@ -37,8 +40,8 @@ def normalised(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the UTF-8 bytes, lower-case hexadecimal."""
-    return F.sha2(normalised(text).cast("binary"), 256)
+    """SHA-256 of the UTF-8 bytes, as 32 bytes."""
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
 def glob_of(path: str) -> str:
@@ -71,10 +74,12 @@ class StreamingDedup:
     """Keyed dedup state in ``state_dir``; feeding again goes on from what it holds.
 
     ``key`` makes the state's key of a text column; anything but a function of the text
-    gives wrong groups, a weak one only more texts to check.
+    gives wrong groups, a weak one only more texts to check. ``batch_bytes`` is how much of
+    the files one micro-batch takes; the state is committed after each.
     """
 
-    def __init__(self, spark: SparkSession, state_dir: str | None = None, key=digest):
+    def __init__(self, spark: SparkSession, state_dir: str | None = None, key=digest, batch_bytes: int = 1 << 40):
+        self.batch_bytes = batch_bytes
         self.spark = spark
         self.state_dir = state_dir or shared_path(spark, "dedup-state")
         self.key = key
@@ -84,6 +89,7 @@ class StreamingDedup:
         schema = self.spark.read.parquet(path).select("doc_id", "text").schema
         stream = (
             self.spark.readStream.schema(schema)
+            .option("maxBytesPerTrigger", self.batch_bytes)
             .parquet(glob_of(path))
             .select(self.key(F.col("text")).alias("digest"), _place().alias("place"))
             .groupBy("digest")
@@ -121,10 +127,11 @@ def _by_bytes(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(
-    spark: SparkSession, path: str, state_dir: str | None = None, key=digest
+    spark: SparkSession, path: str, state_dir: str | None = None, key=digest, places: bool = False
 ) -> DataFrame:
     """One row for each row of the Parquet table ``path``: doc_id, keep_id, group_size, kept,
-    text_sha256, keep_file and keep_row (the content locator of the row that stays)."""
+    text_sha256, keep_file and keep_row (the content locator of the row that stays), and with
+    ``places`` file and row, its own."""
     dedup = StreamingDedup(spark, state_dir, key)
     dedup.feed(path)
     with _state_conf(spark):
@@ -132,16 +139,15 @@ def exact_dedup(
     docs = spark.read.parquet(path).select(
         "doc_id",
         normalised(F.col("text")).alias("text"),
-        digest(F.col("text")).alias("text_sha256"),
+        digest(F.col("text")).alias("sha256"),
         key(F.col("text")).alias("digest"),
         _place().alias("place"),
     )
-    hits = docs.select("text", "digest", "place").join(
-        state.where("n > 1").select("digest"), "digest", "left_semi"
-    )
+    repeated = state.where("n > 1").select("digest")
+    hits = docs.select("text", "digest", "place").join(sized(repeated), "digest", "left_semi")
     checked = materialise(_by_bytes(hits).drop("text"), "dedup-checked")
     clashes = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    slim = docs.select("doc_id", "text_sha256", "digest", "place")
+    slim = docs.select("doc_id", "sha256", "digest", "place")
     rows = slim.join(state, "digest")
     if not clashes.isEmpty():  # different texts under one digest: grouped by their bytes
         mixed = clashes.select("digest")
@@ -154,9 +160,10 @@ def exact_dedup(
         keep["doc_id"].alias("keep_id"),
         F.col("n").alias("group_size"),
         (keep["file"].eqNullSafe(place["file"]) & keep["row"].eqNullSafe(place["row"])).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha256")).alias("text_sha256"),
         keep["file"].alias("keep_file"),
         keep["row"].alias("keep_row"),
+        *([place["file"].alias("file"), place["row"].alias("row")] if places else []),
     )
 
 
@@ -178,11 +185,8 @@ def table_path(docs: DataFrame) -> str:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
     spark, path = docs.sparkSession, table_path(docs)
-    kept = (
-        exact_dedup(spark, path)
-        .where("kept")
-        .select(F.col("keep_file").alias("__file"), F.col("keep_row").alias("__row"))
-    )
+    rows = materialise(exact_dedup(spark, path, places=True).select("file", "row", "kept"), "dedup-rows")
+    gone = rows.where("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     columns = [F.col(f"`{n}`") for n in docs.columns]
     placed = (
         spark.read.schema(docs.schema)
@@ -193,7 +197,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
             F.col("_metadata.row_index").alias("__row"),
         )
     )
-    return placed.join(kept, ["__file", "__row"], "left_semi").select(*columns)
+    return placed.join(sized(gone), ["__file", "__row"], "left_anti").select(*columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

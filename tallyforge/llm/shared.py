@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder (tests, local runs).
@@ -48,6 +50,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name) if _UNSETTLED.search(df._jdf.queryExecution().analyzed().toString()) else df
 
 
+#: Most rows (of a key or two) that are broadcast; they are counted first.
+BROADCAST_ROWS = 262_144
+
+
+def sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``most`` rows; a join shuffles beyond."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,6 +77,45 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     )
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """A function for mapInArrow that gives freed memory back at the end of each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
+@contextmanager
+def session_conf(spark: SparkSession, **values: str):
+    """Session settings (dots written as double underscores) for what is run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of a text column (a row at least)."""
     import numpy as np

@@ -56,7 +56,7 @@ def test_drop_keeps_columns_and_one_row_a_text(spark, docs, folder):
 
 def test_state_goes_on(spark, docs, folder, tmp_path):
     path = folder(documents=docs(ROWS)) + "/documents.parquet"
-    first = X.StreamingDedup(spark, f"file://{tmp_path}/state")
+    first = X.StreamingDedup(spark, f"file://{tmp_path}/state", batch_bytes=1024)
     first.feed(path)
     docs([(99, "a"), (100, "new")]).write.mode("append").parquet(path)
     again = X.StreamingDedup(spark, f"file://{tmp_path}/state")
