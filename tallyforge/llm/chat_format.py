@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, has_columns, row_groups, shuffle_partitions
+from .shared import batch, has_columns, released, row_groups, shuffle_partitions
 
 START, STOP = "### ", "</turn>"
 END = STOP + "\n"
@@ -159,7 +159,7 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     return (
         rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .mapInArrow(_turn_rows, TURN_DDL)
+        .mapInArrow(released(_turn_rows), TURN_DDL)
     )
 
 
@@ -209,7 +209,7 @@ def _read_rows(batches):
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted text of each conversation says: parsed from the chunks, which must
     be in the order that ``formatted_turns`` gives."""
-    return formatted.mapInArrow(_read_rows, READ_DDL)
+    return formatted.mapInArrow(released(_read_rows), READ_DDL)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, bounded, has_columns, materialise
+from .shared import batch, bounded, has_columns, materialise, released
 from .wordhash import ALNUM, grams, words
 
 SPAN = 10
@@ -216,7 +216,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         return spark.sparkContext.broadcast(held)
 
     if blocks == 1:
-        return docs.mapInArrow(_hit_rows(index(0), False), DDL)
+        return docs.mapInArrow(released(_hit_rows(index(0), False)), DDL)
     docs = materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "decontaminate-docs")
     return _merge_blocks(docs, [index(b) for b in range(blocks)])
 
@@ -224,9 +224,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
 def _merge_blocks(docs: DataFrame, indexes: list) -> DataFrame:
     """Hits of several blocks of items, merged by row."""
     keyed = docs.select(F.col("rid").alias("doc_id"), "text")
-    found = keyed.mapInArrow(_hit_rows(indexes[0], True), DDL)
+    found = keyed.mapInArrow(released(_hit_rows(indexes[0], True)), DDL)
     for i in indexes[1:]:
-        found = found.unionByName(keyed.mapInArrow(_hit_rows(i, True), DDL))
+        found = found.unionByName(keyed.mapInArrow(released(_hit_rows(i, True)), DDL))
     joined = found.groupBy("doc_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("parts"),
@@ -239,7 +239,7 @@ def _merge_blocks(docs: DataFrame, indexes: list) -> DataFrame:
             "ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"
         ).alias("spans"),
     )
-    counts = keyed.mapInArrow(_count_rows, "rid long, n_words long")
+    counts = keyed.mapInArrow(released(_count_rows), "rid long, n_words long")
     rows = docs.select("rid", "doc_id").join(counts, "rid").join(joined, "rid", "left")
     hit = F.expr("aggregate(spans, 0L, (acc, x) -> acc + x.end - x.start)")
     return rows.select(
@@ -268,7 +268,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in range(blocks):
         found = blocked.where(F.col("block") == block).select("item_id", "text").collect()  # bounded: one block
         held = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in found], [r["text"] for r in found]))
-        docs = docs.mapInArrow(_clean_rows(held), docs.schema)
+        docs = docs.mapInArrow(released(_clean_rows(held)), docs.schema)
     return docs
 
 

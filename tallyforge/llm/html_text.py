@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import has_columns
+from .shared import has_columns, released
 
 #: A comment, declaration or processing instruction; an end tag; a start tag with its
 #: attributes (quoted values may hold ">").
@@ -420,7 +420,7 @@ def _text_rows(batches):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, title, text."""
     rows = has_columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInArrow(_text_rows, DDL)
+    return rows.mapInArrow(released(_text_rows), DDL)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ Documents with equal shingle sets form one class from the start. For the others:
    in the class that the document has reached already aren't verified again. The rest are
    verified by the exact size of the intersection.
 
-A component beyond ``block_docs`` documents is dealt out as pairs of blocks, every pair of
+A component beyond ``block_docs`` documents or ``block_tokens`` shingles is dealt out as pairs of blocks, every pair of
 blocks being one task, and the classes found are merged afterwards: exact at any size.
 
 Nothing is sampled or capped. Shingles are known by 52 bits of a 64-bit hash, sets by 128
@@ -40,16 +40,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bounded, has_columns, materialise, row_groups, shuffle_partitions
+from .shared import bounded, has_columns, materialise, released, row_groups, session_conf, shuffle_partitions, sized
 from .wordhash import NON_SPACE, grams, mix, words
 
 K = 5
 THRESHOLD = (75, 100)
 _DROP = np.uint64(12)
 _SPAN = 52
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BUCKET = 4_000_000
 BLOCK_DOCS = 8_192
+BLOCK_TOKENS = 8_000_000
 MAX_LENGTHEN = 8
 
 
@@ -172,7 +173,7 @@ def _token_rows(k: int, buckets: int):
             sizes = np.array([len(p) for p in parts])
             h = np.concatenate(parts)
             order = np.argsort(h, kind="stable")
-            h, doc = h[order], np.repeat(np.arange(len(parts)), sizes)[order]
+            h, doc = h[order], np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[order]
             number = (task << 24) + blob
             blob += 1
             edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
@@ -246,7 +247,7 @@ def _repeated_rows(batches):
                 yield batch_of(REPEATED_SCHEMA, [r["blob"]], [None], [None], [_pack_small(at)], [pack_sorted(h)], [_pack_small(freq)])
 
 
-VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("head", pa.int64())])
+VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("head", pa.int64()), ("m", pa.int64())])
 
 
 def _viable_rows(threshold: tuple[int, int]):
@@ -279,6 +280,7 @@ def _viable_rows(threshold: tuple[int, int]):
                     n_of[pick],
                     [h[edge[i] : edge[i + 1]].tobytes() for i in pick],
                     (repeated - need + 1)[pick],
+                    repeated[pick],
                 )
 
     return run
@@ -465,31 +467,40 @@ def _component_rows(threshold: tuple[int, int]):
 
 
 def jaccard_classes(
-    docs: DataFrame, k: int = K, threshold: tuple[int, int] = THRESHOLD, block_docs: int = BLOCK_DOCS
+    docs: DataFrame,
+    k: int = K,
+    threshold: tuple[int, int] = THRESHOLD,
+    block_docs: int = BLOCK_DOCS,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        return _classes(docs, k, threshold, block_docs, block_tokens)
+
+
+def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], block_docs: int, block_tokens: int) -> DataFrame:
     spark = docs.sparkSession
     docs = has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    slim = materialise(docs.mapInArrow(_doc_rows(k), "doc_id long, n long, key binary"), "jaccard-docs")
+    slim = materialise(docs.mapInArrow(released(_doc_rows(k)), "doc_id long, n long, key binary"), "jaccard-docs")
     total = slim.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(shuffle_partitions(spark), -(-total // BUCKET))
     tokens = docs.select("text").mapInArrow(
-        _token_rows(k, parts), "bucket int, kind int, blob long, a binary, b binary"
+        released(_token_rows(k, parts)), "bucket int, kind int, blob long, a binary, b binary"
     )
     repeated = (
         tokens.repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind", "blob")
-        .mapInArrow(_repeated_rows, "blob long, ids binary, sizes binary, at binary, h binary, df binary")
+        .mapInArrow(released(_repeated_rows), "blob long, ids binary, sizes binary, at binary, h binary, df binary")
     )
     viable = materialise(
         repeated.repartition(parts, "blob")
         .sortWithinPartitions("blob")
-        .mapInArrow(_viable_rows(threshold), "key binary, n long, tokens binary, head long"),
+        .mapInArrow(released(_viable_rows(threshold)), "key binary, n long, tokens binary, head long, m long"),
         "jaccard-viable",
     )
     stars = materialise(
         viable.select("key", "tokens", "head").mapInArrow(
-            _prefix_rows(parts), "bucket int, h binary, least binary, a binary, b binary"
+            released(_prefix_rows(parts)), "bucket int, h binary, least binary, a binary, b binary"
         ),
         "jaccard-prefixes",
     )
@@ -498,14 +509,16 @@ def jaccard_classes(
         .select("bucket", "h", "least")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_bucket_edges, "a binary, b binary")
+        .mapInArrow(released(_bucket_edges), "a binary, b binary")
     )
     comps = connected(edges)
-    sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    lengths = viable.groupBy("key").agg(F.max("m").alias("m"))
+    sizes = comps.join(lengths, "key").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("m").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("size") / block_docs), F.ceil(F.col("total") / block_tokens))
     grouped = (
         comps.join(sizes, "root")
-        .withColumn("blocks", F.ceil(F.col("size") / block_docs).cast("int"))
-        .join(viable, "key")
+        .withColumn("blocks", blocks.cast("int"))
+        .join(viable.drop("m"), "key")
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -522,7 +535,7 @@ def jaccard_classes(
     links = (
         grouped.repartition(parts, "comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j")
-        .mapInArrow(_component_rows(threshold), "a binary, b binary")
+        .mapInArrow(released(_component_rows(threshold)), "a binary, b binary")
     )
     classes = materialise(connected(links), "jaccard-classes")
     rows = slim.join(classes, "key", "left").withColumn("class", F.coalesce("root", "key"))
@@ -537,11 +550,13 @@ def jaccard_classes(
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class (and those with a null one)."""
-    kept = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The rows of ``docs`` whose doc_id names their class (and those with a null one); of
+    rows with one doc_id all stay or none."""
+    found = materialise(jaccard_classes(docs).select("doc_id", "component_id"), "jaccard-found")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    gone = materialise(gone.where("NOT kept").select("doc_id"), "jaccard-gone")
     columns = [F.col(f"`{n}`") for n in docs.columns]
-    loose = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(*columns).unionByName(loose)
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import has_columns, materialise
+from .shared import has_columns, materialise, released
 
 N = 3
 DIMENSIONS = 1024
@@ -46,7 +46,7 @@ class Space:
         self.known = np.zeros(0x110000, bool)
         self.letters: dict[int, np.ndarray] = {}
         self.index: dict[int, int] = {}
-        self.table = np.zeros((1024, dimensions), np.float32)
+        self.table = np.zeros((1024, dimensions), np.int8)
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters' numbers and gaps, one gap for each run of other characters."""
@@ -131,7 +131,7 @@ class Space:
                 lo, hi = np.searchsorted(c, part[0]), np.searchsorted(c, part[-1], "right")
                 weights[i, np.searchsorted(part, c[lo:hi])] = t[lo:hi]
             own = self.rows(part)
-            out += weights @ self.table[own]
+            out += weights @ self.table[own].astype(np.float32)
         return out
 
 
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, n: int = N, dimensions: int = DIMENSIONS) -> tuple[li
     parts = (
         has_columns(docs, "lang", "text")
         .where("lang is not null and lang <> ''")
-        .mapInArrow(_profile_rows(n, dimensions), "lang string, part array<long>")
+        .mapInArrow(released(_profile_rows(n, dimensions)), "lang string, part array<long>")
     )
     sums = (
         parts.select("lang", F.posexplode("part").alias("i", "v"))
@@ -256,7 +256,7 @@ def _predicted_rows(names: list[str], prototypes: np.ndarray, n: int, dimensions
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, n: int = N, dimensions: int = DIMENSIONS) -> DataFrame:
     """``docs`` (which has a column text) with lang_pred and score."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predicted_rows(names, prototypes, n, dimensions, "text"), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(released(_predicted_rows(names, prototypes, n, dimensions, "text")), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):
@@ -276,7 +276,7 @@ def identify(docs: DataFrame) -> DataFrame:
         for b in inner(batches):
             yield b.drop_columns(["text"])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(released(run), ddl)
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def drop_undetermined(docs: DataFrame) -> DataFrame:
             b = b.filter(pc.not_equal(b.column("lang_pred"), UNDETERMINED))
             yield b.drop_columns(["lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import has_columns, materialise, settled
+from .shared import has_columns, materialise, released, settled
 
 MIN_WORDS = 10
 _BREAKS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
@@ -75,7 +75,7 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 
 def repeated_units(rows: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Occurrences to remove: rid, start, stop, first_doc_id. ``rows``: rid, doc_id, text."""
-    found = rows.mapInArrow(_unit_rows(kind, min_words), UNIT_DDL)
+    found = rows.mapInArrow(released(_unit_rows(kind, min_words)), UNIT_DDL)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
     first = materialise(  # as a table: a join of two plain exchanges can split a hot unit
         found.groupBy("digest")
@@ -138,7 +138,7 @@ def dedup_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS)
         .groupBy("rid")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("stop").alias("end"), F.col("first_doc_id")))).alias("removed"))
     )
-    return rows.join(removed, "rid").select("doc_id", "text", "removed").mapInArrow(_clean_rows, CLEAN_DDL)
+    return rows.join(removed, "rid").select("doc_id", "text", "removed").mapInArrow(released(_clean_rows), CLEAN_DDL)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import has_columns, materialise
+from .shared import has_columns, materialise, released
 
 CAPACITY = 1024
 END = 2
@@ -110,7 +110,7 @@ def _batch(columns: Iterable[list], schema: pa.Schema = PIECE_SCHEMA) -> pa.Reco
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     docs = has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(_piece_rows(tokenizer, capacity, with_ids), PIECE_DDL)
+    return docs.mapInArrow(released(_piece_rows(tokenizer, capacity, with_ids)), PIECE_DDL)
 
 
 def _packed_rows(capacity: int):
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     return (
         dealt.repartition(groups, "group")
         .sortWithinPartitions("group", *order)
-        .mapInArrow(_packed_rows(capacity), f"{PIECE_DDL}, sequence_id long, offset long")
+        .mapInArrow(released(_packed_rows(capacity)), f"{PIECE_DDL}, sequence_id long, offset long")
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import has_columns
+from .shared import has_columns, released
 
 SEGMENT = 512
 _CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
@@ -166,7 +166,7 @@ def _tree_rows(path: str | None, size: int):
 def count_trees(docs: DataFrame, tokenizer: str | None = None, size: int = SEGMENT) -> DataFrame:
     """Each document with its count and segment arrays: the trees' leaves."""
     rows = has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_tree_rows(tokenizer, size), TREE_DDL)
+    return rows.mapInArrow(released(_tree_rows(tokenizer, size)), TREE_DDL)
 
 
 EDITED_DDL = TREE_DDL + ", n_tokens_before long, n_edits long, encoded_chars long"
@@ -199,7 +199,7 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None, s
     """Trees of the edited texts. ``edits``: for each row an array of struct(start, length,
     insert) in characters; encoded_chars tells how much was encoded again."""
     rows = trees.select("doc_id", "text", "n_tokens", "seg_chars", "seg_tokens", edits.alias("edits"))
-    return rows.mapInArrow(_edited_rows(tokenizer, size), EDITED_DDL)
+    return rows.mapInArrow(released(_edited_rows(tokenizer, size)), EDITED_DDL)
 
 
 def revision(text: Column) -> Column:

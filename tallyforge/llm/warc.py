@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, has_columns, materialise, settled, shared_path
+from .shared import batch, has_columns, materialise, released, settled, shared_path
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
@@ -227,7 +227,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0) -> Data
         F.col("first.url").alias("to_url"),
         F.coalesce(F.col("first.rid") != F.col("rid"), F.lit(False)).alias("revisit"),
     )
-    return materialise(decided.mapInArrow(_writer(folder), MANIFEST_DDL), "warc-manifest")
+    return materialise(decided.mapInArrow(released(_writer(folder)), MANIFEST_DDL), "warc-manifest")
 
 
 RECORD_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_id string, refers_to_record string"
@@ -271,7 +271,7 @@ def _reader(folder: str):
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row for each record of the archives listed, every payload checked."""
     spread = manifest.select("archive").repartition(max(1, manifest.count()))
-    return spread.mapInArrow(_reader(folder), RECORD_DDL)
+    return spread.mapInArrow(released(_reader(folder)), RECORD_DDL)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 _VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(

@@ -63,10 +63,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("block", [J.BLOCK_DOCS, 3])
-def test_against_brute_force(docs, block):
-    rows = corpus(block, 160)
-    assert found(J.jaccard_classes(docs(rows), block_docs=block)) == brute(rows)
+@pytest.mark.parametrize("block, tokens", [(J.BLOCK_DOCS, J.BLOCK_TOKENS), (3, J.BLOCK_TOKENS), (J.BLOCK_DOCS, 300)])
+def test_against_brute_force(docs, block, tokens):
+    rows = corpus(block + tokens, 160)
+    assert found(J.jaccard_classes(docs(rows), block_docs=block, block_tokens=tokens)) == brute(rows)
 
 
 def test_nulls_empties_repeats_long_and_unicode(docs):
