@@ -1,11 +1,16 @@
-"""Substring deduplication by line or paragraph hashing.
+"""Substring deduplication by line and paragraph hashing.
 
-Texts are split into units (lines, or paragraphs between blank lines). A unit is normalised
+Texts are split into units (lines, paragraphs between blank lines, or both). A unit is normalised
 (lower case, white-space runs as one space, ends trimmed), hashed, and grouped with all equal
 units of all documents. The occurrence ranked first, by (doc_id, place in the text), stays;
 the others are removed. Offsets are characters of the original text.
 
-Units with fewer than ``min_words`` words stay everywhere: short lines are equal by chance.
+Units with fewer than ``min_words`` words stay everywhere. The query has a floor of one word and
+takes both kinds: each repeat of a non-empty line goes, and each of a paragraph, whatever its
+line breaks. Of both kinds, a paragraph is a run of lines that have words; one of a single line
+is that line, so that a line and a paragraph of the same words are equal. A removed paragraph
+takes the place of the lines removed in it. Each removed word is at an earlier place too, so
+the earliest copy of any unit's words is never lost, even where it lies in units of both kinds.
 
 The group of a very common unit is merged in each task before anything is exchanged, and the
 join that follows is one that Spark can split; what comes together is one document's units.
@@ -47,14 +52,30 @@ def normalised(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
+def _spans(text: str, kind: str) -> list[tuple[int, int, list[str]]]:
+    """Ranges of the units, with their words in lower case."""
+    if kind != "both":
+        return [(start, stop, text[start:stop].lower().split()) for start, stop in units(text, kind)]
+    out, run = [], []
+    for start, stop in [*units(text), (len(text), len(text))]:
+        words = text[start:stop].lower().split()
+        if words:
+            run.append((start, stop, words))
+            continue
+        out += run
+        if len(run) > 1:
+            out.append((run[0][0], run[-1][1], [w for *_, part in run for w in part]))
+        run = []
+    return out
+
+
 def _unit_rows(kind: str, min_words: int):
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in UNIT_SCHEMA]
             for rid, doc_id, text in zip(b.column("rid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 text = text.as_py() or ""
-                for number, (start, stop) in enumerate(units(text, kind)):
-                    part = text[start:stop].lower().split()
+                for number, (start, stop, part) in enumerate(_spans(text, kind)):
                     if len(part) < max(1, min_words):
                         continue
                     digest = hashlib.blake2b(" ".join(part).encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -76,7 +97,7 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 def repeated_units(rows: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Occurrences to remove: rid, start, stop, first_doc_id. ``rows``: rid, doc_id, text."""
     found = rows.mapInArrow(released(_unit_rows(kind, min_words)), UNIT_DDL)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start", "unit")
     first = materialise(  # as a table: a join of two plain exchanges can split a hot unit
         found.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
@@ -105,12 +126,21 @@ def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+def _outermost(removed: list[dict]) -> list[dict]:
+    """Ranges in order, without those within another."""
+    out: list[dict] = []
+    for x in sorted(removed, key=lambda x: (x["start"], -x["end"])):
+        if not out or x["end"] > out[-1]["end"]:
+            out.append(x)
+    return out
+
+
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64())])
 
 
 def _clean_rows(batches):
     for b in batches:
-        removed = b.column("removed").to_pylist()
+        removed = [_outermost(r) for r in b.column("removed").to_pylist()]
         texts = b.column("text").to_pylist()
         clean = [_cut(t or "", [(x["start"], x["end"]) for x in r]) for t, r in zip(texts, removed)]
         yield pa.RecordBatch.from_arrays(
@@ -142,8 +172,9 @@ def dedup_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed units of whole documents; lists come as text so that SQL can compare them."""
-    found = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Removed lines and paragraphs, of any length, of whole documents; lists come as text so
+    that SQL can compare them. OP7_SQL covers less: lines of ten words or more."""
+    found = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), "both", 1)
     spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_doc_id"]))
     return found.select(
         "doc_id",

@@ -64,3 +64,44 @@ def test_paragraphs_and_empty_table(docs):
     got = D.dedup_units(docs([(1, f"{a}\n\nx"), (2, f"y\n \n{a}")]), "paragraph").collect()
     assert [r["doc_id"] for r in got] == [2] and got[0]["removed_chars"] == len(a)
     assert D.dedup_units(docs([])).count() == 0
+
+
+def brute_both(rows):
+    """Each line with words and each run of two or more such lines: all but the first place goes."""
+    found = {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+        text, at, lines = rows[i][1] or "", 0, []
+        for line in text.split("\n"):
+            lines.append((at, at + len(line)))
+            at += len(line) + 1
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                inner = [text[s:e].strip() for s, e in lines[a : b + 1]]
+                edges = [text[s:e].strip() for s, e in [*lines[a - 1 : a], *lines[b + 1 : b + 2]]]
+                if all(inner) and (a == b or not any(edges)):
+                    found.setdefault(" ".join(text[lines[a][0] : lines[b][1]].lower().split()), []).append((i, lines[a][0], lines[b][1]))
+    gone = {}
+    for places in found.values():
+        for i, start, end in places[1:]:
+            gone.setdefault(i, []).append((start, end, rows[places[0][0]][0]))
+    out = {}
+    for i, spans in gone.items():
+        out[i] = sorted(s for s in spans if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in spans))
+    return out
+
+
+def test_query_removes_short_lines_and_paragraphs_by_brute_force(spark, docs, folder):
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(1, 6))) for _ in range(60)] + ["", " \t", "one two\nthree four", "one\ntwo three four"]
+    rows = ROWS[:-1] + [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    want = sorted((str(rows[i][0]), ",".join(":".join(str(v) for v in s if v is not None) for s in spans)) for i, spans in brute_both(rows).items())
+    got = D.op7_line_dedup(spark, folder(documents=docs(rows).coalesce(1))).collect()
+    assert sorted((str(r["doc_id"]), r["removed"]) for r in got) == want
+    assert {7, 100} & {r["doc_id"] for r in got}
+
+
+def test_query_catches_a_passage_in_short_lines_and_one_with_other_breaks(spark, docs, folder):
+    words = [f"word{i}" for i in range(60)]
+    four, nine = ("\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n)) for n in (4, 9))
+    got = D.op7_line_dedup(spark, folder(documents=docs([(1, f"x\n\n{four}\n\nx1"), (2, f"y\n{four}\ny1"), (3, f"z\n\n{nine}\n\nz1")]))).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {2: "y\ny1", 3: "z\n\n\nz1"}
