@@ -27,14 +27,21 @@ from pyspark.sql import functions as F
 
 from .shared import has_columns, released
 
+#: An attribute by the states of HTML: a quote opens a value only right after "=", anywhere
+#: else it is part of a name or of an unquoted value. A value may end with the page.
+_PAIR = (
+    r"([^\t\n\f\r />][^\t\n\f\r />=]*+)"
+    r"(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\t\n\f\r >\"'][^\t\n\f\r >]*+))?+)?+"
+)
+_PAIRS = r"(?:[\t\n\f\r /]++|" + re.sub(r"\((?=[^?])", "(?:", _PAIR) + ")*+"
 #: A comment, declaration or processing instruction; an end tag; a start tag with its
 #: attributes (quoted values may hold ">").
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<\?[^>]*(?:>|\Z)|<[!/](?![a-zA-Z])[^>]*(?:>|\Z)|<![a-zA-Z][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\t\n\f\r />]*+)(" + _PAIRS + r")(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_ATTRIBUTE = re.compile(_PAIR)
 _WANTED = re.compile("hidden|style|span|start|value|open|type", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -169,7 +176,7 @@ def parse(source: str) -> tuple[Node, str]:
             continue
         node = push(tag, attributes)
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\t\n\f\r />]){_PAIRS}>?", re.I).search(source, at)
             body = source[at : end.start() if end else size]
             at = end.end() if end else size
             if tag == "title" and title is None:

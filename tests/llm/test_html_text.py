@@ -76,3 +76,60 @@ def test_every_visible_word_is_there_in_order():
             else:
                 parts.append(f"</{rng.choice(tags)}>")
         assert sorted(w for w in text("".join(parts)).split() if w[0] == "w") == sorted(words)
+
+
+def outside_tags(source):
+    """Characters outside tags, by the tokenizer states of the HTML standard, one at a time."""
+    out, state, quote, begin = [], "data", "", 0
+    for i, c in enumerate(source):
+        space = c in "\t\n\f\r "
+        if state == "data":
+            if c == "<" and source[i + 1 : i + 3].lstrip("/")[:1].isalpha():
+                state, begin = "name of tag", i
+            else:
+                out.append(c)
+        elif state == "quoted":
+            state = "before name" if c == quote else "quoted"
+        elif c == "/" and i == begin + 1:
+            pass
+        elif c == ">":
+            state = "data"
+        elif state == "before value" and space:
+            pass
+        elif state == "before value":
+            state, quote = ("quoted", c) if c in "\"'" else ("unquoted", "")
+        elif state == "unquoted":
+            state = "before name" if space else "unquoted"
+        elif c == "/":
+            state = "before name"
+        elif space:
+            state = "after name" if state in ("name", "after name") else "before name"
+        elif c == "=" and state in ("name", "after name"):
+            state = "before value"
+        elif state != "name of tag":
+            state = "name"
+    return "".join(out)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<p title=it's>Hello, <b>don't</b> lose this", "Hello, don't lose this"),
+        ('<a href="x"">link text</a> middle <a href="y">two', "link text middle two"),
+        ("<a b'>x</a> 'y' <a c = 'd>e' f>z", "x 'y' z"),
+        ('<a b="c>d"hidden>x</a>y', "y"),
+        ("<a =\"x'>1</a> it's", "1 it's"),
+        ("<script>no</script a='>'>x", "x"),
+    ],
+)
+def test_stray_quotes(source, want):
+    assert text(source) == want
+
+
+def test_tags_end_where_the_states_say():
+    rng = random.Random(9)
+    pieces = ["<b", "<i ", "</b", "x", "y", '"', "'", "=", " ", "/", ">", ">", "\n"]
+    for _ in range(20_000):
+        source = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
+        assert "".join(text(source).split()) == "".join(outside_tags(source).split()), source
+    assert text("<b a='" + "\"" * 200_000) == "" and text("<b " + "'=" * 100_000 + ">x") == "x"
