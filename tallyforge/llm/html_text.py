@@ -7,8 +7,8 @@ blocks, bullets and numbers for lists by depth, table cells in aligned columns,
 ``pre`` as it is and white space collapsed elsewhere. All visible text is written, in the
 order of the page. Nothing recurses, so depth has no limit but memory.
 
-Not visible: head, script, style, template, noscript, embedded media and their fallback,
-comments, elements with ``hidden`` or ``style`` of ``display:none`` or
+Not visible: head, script, style, template, noscript, embedded media (svg too) and their
+fallback, annotations of formulas, comments, elements with ``hidden`` or ``style`` of ``display:none`` or
 ``visibility:hidden``, all but the summary of a closed ``details``.
 
 Defined results: null html gives null text; empty html and html without visible text give
@@ -44,13 +44,28 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(_PAIR)
 _WANTED = re.compile("hidden|style|span|start|value|open|type", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: A declaration; ";" within quotes or brackets doesn't end it.
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))++")
+_HIDES = {"display": frozenset(("none",)), "visibility": frozenset(("hidden", "collapse"))}
+#: Values besides those that hide; others are no values, and browsers pass over them.
+_GLOBAL = frozenset("inherit initial unset revert revert-layer".split())
+_SHOWS = {
+    "visibility": _GLOBAL | {"visible"},
+    "display": _GLOBAL | frozenset(
+        "block inline inline-block flow flow-root flex inline-flex grid inline-grid table inline-table table-row-group "
+        "table-header-group table-footer-group table-row table-cell table-column-group table-column table-caption "
+        "list-item contents ruby ruby-base ruby-text run-in math -webkit-box -webkit-inline-box -webkit-flex".split()
+    ),
+}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object video audio canvas svg math map datalist noembed noframes title".split()
+    "head script style template noscript iframe object video audio canvas svg datalist noembed noframes title".split()
 )
+#: Sources of a formula, which readers don't see.
+_NOTES = frozenset(("annotation", "annotation-xml"))
 HEAD = frozenset("base link meta title style script noscript template".split())
 #: Blocks with a blank line on either side, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset menu dir".split())
@@ -98,7 +113,25 @@ def _attributes(source: str) -> dict[str, str]:
 def _visible(tag: str, attributes: dict[str, str]) -> bool:
     if tag in HIDDEN or "hidden" in attributes:
         return False
-    return not ("style" in attributes and _UNSEEN.search(attributes["style"]))
+    return not ("style" in attributes and _unseen(attributes["style"]))
+
+
+def _unseen(style: str) -> bool:
+    """Whether the declarations of a style hide: of a property the last valid one counts, an
+    important one before others."""
+    won: dict[str, tuple[bool, bool]] = {}
+    for declaration in _DECLARATION.findall(_COMMENT.sub(" ", style)):
+        name, _, value = declaration.lower().partition(":")
+        name, (value, mark, important) = name.strip(), value.partition("!")
+        if name not in _HIDES or mark and important.strip() != "important":
+            continue
+        words = value.split()
+        hides = len(words) == 1 and words[0] in _HIDES[name]
+        if not (hides or "var(" in value or words and _SHOWS[name].issuperset(words)):
+            continue
+        if mark or not won.get(name, (False, False))[0]:
+            won[name] = (bool(mark), hides)
+    return any(hides for _, hides in won.values())
 
 
 def parse(source: str) -> tuple[Node, str]:
@@ -130,7 +163,10 @@ def parse(source: str) -> tuple[Node, str]:
         return depth is not None
 
     def push(tag: str, attributes: dict[str, str]) -> Node:
-        node = Node(tag, attributes, stack[-1].seen and _visible(tag, attributes))
+        seen = stack[-1].seen and _visible(tag, attributes)
+        if seen and tag in _NOTES and any(x.tag == "math" for x in stack):
+            seen = False
+        node = Node(tag, attributes, seen)
         stack[-1].children.append(node)
         stack.append(node)
         return node

@@ -133,3 +133,29 @@ def test_tags_end_where_the_states_say():
         source = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
         assert "".join(text(source).split()) == "".join(outside_tags(source).split()), source
     assert text("<b a='" + "\"" * 200_000) == "" and text("<b " + "'=" * 100_000 + ">x") == "x"
+
+
+@pytest.mark.parametrize(
+    "style, seen",
+    [
+        ("backface-visibility:hidden", True),
+        ("--my-display:none; x-visibility : hidden", True),
+        ("background:url(a;display:none)", True),
+        ("content:';display:none;'", True),
+        ("display:none;display:block", True),
+        ("display:block!important;display:none", True),
+        ("/* display:none; */ color:red", True),
+        ("color:red;display:none", False),
+        ("display:none;display:nonsense", False),
+        ("DISPLAY : NONE ! important ; display:block", False),
+        ("visibility/**/:collapse", False),
+        ("", True),
+    ],
+)
+def test_only_the_properties_display_and_visibility_hide(style, seen):
+    assert text(f'a <span style="{style}">b</span> c') == ("a b c" if seen else "a c")
+
+
+def test_formulas_and_maps_are_visible():
+    assert text("<map name=m><p>label</p><area alt=no></map>x") == "label\n\nx"
+    assert text("<math><semantics><mi>E</mi><mo>=</mo><annotation encoding='application/x-tex'>no</annotation></semantics></math> y") == "E= y"
