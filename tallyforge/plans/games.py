@@ -211,8 +211,9 @@ SELECT user_id, n::INTEGER AS full, (n - cut)::INTEGER AS kept,
 
 
 def context_history(spark: SparkSession, d: str) -> DataFrame:
-    """A user's visible cards minus a hand of two (the cards 10 and 5), by value."""
-    e = load(spark, d, "events", "event_id", "user_id").where("user_id < 60").withColumn("card", _card(F.col("event_id")))
+    """A user's visible cards minus a hand of two (the cards 10 and 5), by value. All users;
+    CONTEXT_HISTORY covers those below 60 only."""
+    e = load(spark, d, "events", "event_id", "user_id").withColumn("card", _card(F.col("event_id")))
     hand = e.select("user_id").distinct().withColumn("card", F.explode(F.array(F.lit(10), F.lit(5)))).select("user_id", "card")
     left = tokens.context_history(e, hand, "user_id", "event_id", "card")
     return left.select("user_id", "event_id", "card")
