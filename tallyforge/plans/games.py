@@ -395,16 +395,18 @@ SELECT key, CASE WHEN total > 21 THEN -wager WHEN total > score THEN wager WHEN
 
 
 def sampling_error(spark: SparkSession, d: str) -> DataFrame:
-    """Agreement of sampled with exact choices on two-action states, by sample budget."""
+    """Agreement of sampled with exact choices on two-action states, one for each part, by
+    sample budget."""
     from ..operators import experiments
 
-    p = load(spark, d, "part", "p_partkey", "p_size").where("p_partkey <= 40")
+    p = load(spark, d, "part", "p_partkey", "p_size")
     win = 0.45 + F.col("p_size") / 500
     even = F.struct(F.lit("stand").alias("action"), F.array(F.lit(-1.0), F.lit(1.0)).alias("x"), F.array(1 - win, win).alias("p"))
     safe = F.struct(F.lit("surrender").alias("action"), F.array(F.lit(0.0)).alias("x"), F.array(F.lit(1.0)).alias("p"))
     states = p.select(F.col("p_partkey").alias("state"), F.array(even, safe).alias("actions"), (2 * win - 1).alias("v"))
     values = states.select("state", F.explode(F.create_map(F.lit("stand"), F.col("v"), F.lit("surrender"), F.lit(0.0))).alias("action", "value"))
-    choices = experiments.sampled_choices(states.drop("v"), [100, 1_000, 10_000], 20, 7)
+    dealt = states.drop("v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "state")
+    choices = experiments.sampled_choices(dealt, [100, 1_000, 10_000], 20, 7)
     return rounded(experiments.agreement_by_budget(choices, values))
 
 

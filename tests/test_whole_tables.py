@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tallyforge.plans import games
 
 
@@ -22,3 +24,19 @@ def test_context_history_covers_every_user(spark, tmp_path):
                 want.append((user, event, card))
     got = [tuple(r) for r in games.context_history(spark, f"file://{tmp_path}").select("user_id", "event_id", "card").collect()]
     assert sorted(got) == sorted(want) and len(cards) > 60 and max(u for u, _, _ in got) > 1_000_000
+
+
+def test_sampling_error_covers_every_part(spark, tmp_path):
+    parts = [(k, k % 50 + 1) for k in range(1, 101)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"file://{tmp_path}/part.parquet")
+    got = {r["budget"]: r for r in games.sampling_error(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {100, 1_000, 10_000}
+    for budget, r in got.items():
+        same = 0
+        for key, size in parts:
+            win = 0.45 + size / 500
+            for rep in range(20):
+                lost, won = np.random.default_rng([7, key, budget, rep]).multinomial(budget, [1 - win, win])
+                best = max((2 * win - 1, "stand"), (0.0, "surrender"))[1]
+                same += best == ("stand" if won - lost >= 0 else "surrender")
+        assert r["comparisons"] == 100 * 20 and abs(r["agreement"] - same / 2_000) < 1e-3
