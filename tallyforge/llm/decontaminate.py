@@ -27,27 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import batch, bounded, has_columns, materialise, released
-from .wordhash import ALNUM, grams, words
+from .wordhash import ALNUM, LOWER, grams, winnowed, words
 
 SPAN = 10
 K = 5
 BLOCK_WORDS = 1_000_000
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def winnowed(g: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
-    """Positions of k-grams that are least in some window of valid neighbours."""
-    n = len(g) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    least, whole = g[:n].copy(), valid[:n].copy()
-    for j in range(1, window):
-        np.minimum(least, g[j : j + n], out=least)
-        whole &= valid[j : j + n]
-    chosen = np.zeros(len(g), bool)
-    for j in range(window):
-        chosen[j : j + n] |= whole & (g[j : j + n] == least)
-    return np.flatnonzero(chosen)
 
 
 class ItemIndex:
@@ -57,7 +41,7 @@ class ItemIndex:
     def __init__(self, ids: list[str | None], texts: list[str], span: int = SPAN, k: int = K):
         self.span, self.k, self.ids = span, k, ids
         w = words(pa.array(texts, pa.string()), ALNUM)
-        raw = w.data.tobytes().translate(_LOWER)
+        raw = w.data.tobytes().translate(LOWER)
         self.words = [
             [raw[a:b] for a, b in zip(w.start[lo:hi], w.end[lo:hi])] for lo, hi in zip(w.first, w.first[1:])
         ]
@@ -89,7 +73,7 @@ class ItemIndex:
             if cache[0] != row:
                 lo, hi = w.first[row], w.first[row + 1]
                 base = int(w.start[lo])
-                text = w.data[base : w.end[hi - 1]].tobytes().translate(_LOWER)
+                text = w.data[base : w.end[hi - 1]].tobytes().translate(LOWER)
                 cache = (row, [text[a - base : b - base] for a, b in zip(w.start[lo:hi].tolist(), w.end[lo:hi].tolist())])
             return cache[1]
 

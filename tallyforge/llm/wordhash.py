@@ -32,6 +32,8 @@ NON_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
+#: A-Z as a-z, for bytes.translate.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,3 +128,18 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         total += hashes[j : j + n] * _COEFFICIENTS[j]
     return mix(total)
+
+
+def winnowed(g: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
+    """Positions of k-grams that are least in some window of valid neighbours."""
+    n = len(g) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, whole = g[:n].copy(), valid[:n].copy()
+    for j in range(1, window):
+        np.minimum(least, g[j : j + n], out=least)
+        whole &= valid[j : j + n]
+    chosen = np.zeros(len(g), bool)
+    for j in range(window):
+        chosen[j : j + n] |= whole & (g[j : j + n] == least)
+    return np.flatnonzero(chosen)
