@@ -3,7 +3,8 @@
 The ids are those of the ``tokenizers`` library for the given vocabulary file. Where that
 file's ids rank its merges, as byte-level vocabularies do, the same table drives
 ``tiktoken``, which gives equal ids in a quarter of the time; any other file goes to
-``tokenizers`` itself. ``tests/llm`` holds the two against each other.
+``tokenizers`` itself. ``tests/llm`` holds the two against each other. Added tokens of the
+file (such as an end of text) that stand in a text have their own ids, as they have there.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def ranked_vocabulary(path: str) -> dict[bytes, int] | None:
-    """Bytes -> id, if the ids rank the merges of the file; else None."""
+def ranked_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Bytes -> id and added token -> id, if the ids rank the merges of the file; else None."""
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
     model, split = held["model"], held.get("pre_tokenizer") or {}
@@ -42,30 +43,41 @@ def ranked_vocabulary(path: str) -> dict[bytes, int] | None:
     made = [vocabulary["".join(m)] for m in merges]
     if made != sorted(made):
         return None
-    special = {t["content"] for t in held.get("added_tokens", ())}
-    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    added = held.get("added_tokens", ())
+    if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+        return None
+    own = {t["content"]: t["id"] for t in added}
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in own}, own
+
+
+def added_tokens(path: str) -> list[dict]:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f).get("added_tokens", [])
 
 
 class Encoder:
-    """ids(text): the ids as unsigned 32-bit integers."""
+    """ids(text): the ids as unsigned 32-bit integers. ``cuttable``: no added token holds a
+    space or takes in the white space around it."""
 
     def __init__(self, path: str):
-        ranks = ranked_vocabulary(path)
-        if ranks is None:
+        found = ranked_vocabulary(path)
+        self.cuttable = not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added_tokens(path))
+        if found is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             held = Tokenizer.from_file(path)
-            held.encode_special_tokens = True
             self.ids = lambda text: np.array(held.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
             import public_tokenizers
             import tiktoken
 
+            ranks, own = found
             held = tiktoken.Encoding(
-                os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+                os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own
             )
-            self.ids = lambda text: held.encode_to_numpy(text, disallowed_special=())
+            allowed = set(own)
+            self.ids = lambda text: held.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
 
     def count(self, text: str) -> int:
         return len(self.ids(text))

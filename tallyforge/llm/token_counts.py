@@ -2,12 +2,15 @@
 
 A document is cut into segments of whole pre-tokens, each with its character and token
 count; a tree of sums stands over them. An edit re-encodes the segments that it touches and
-as much around them as may change, and updates the sums above. The tree travels with the
-document as two arrays, so counting goes on from it later.
+as much around them as may change, and updates the sums above. Segments keep their places: where
+an edit leaves fewer, places stay empty; where it makes more, the last place takes the rest,
+and only when that is ``ROOM`` segments long the sums are laid out anew. The tree travels
+with the document as two arrays, so counting goes on from it later.
 
 A cut is safe where a letter, digit or mark, then one space, then a letter or digit meet:
 the tokenizer's pattern always begins a pre-token at that space, whatever comes before or
-after it. Text without such a place is one segment, however long.
+after it (an added token of the tokenizer that holds a space would join the two: with such
+a one a text is a single segment). Text without such a place is one segment, however long.
 
 Defined results: null text is empty and has no tokens; an edit beyond the end applies at
 the end; null fields of an edit count as 0 or empty; edits apply in the order given, each to
@@ -28,6 +31,8 @@ from .bpe import encoder
 from .shared import has_columns, released
 
 SEGMENT = 512
+#: Segments that one place takes before the sums are laid out anew.
+ROOM = 16
 _CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
@@ -78,7 +83,7 @@ class EditableDocument:
     """A text in segments with trees of their characters and tokens."""
 
     def __init__(self, enc, text: str, chars: list[int] | None = None, tokens: list[int] | None = None, size: int = SEGMENT):
-        self.enc, self.size, self.encoded = enc, size, 0
+        self.enc, self.size, self.encoded, self.laid_out = enc, size if enc.cuttable else 1 << 60, 0, 0
         if chars is None or tokens is None:
             self.parts, self.tokens = self._encode(text)
         else:
@@ -94,6 +99,7 @@ class EditableDocument:
         return parts, [self.enc.count(p) for p in parts]
 
     def _build(self) -> None:
+        self.laid_out += 1
         self.char_tree = SumTree(np.array([len(p) for p in self.parts], np.int64))
         self.token_tree = SumTree(np.array(self.tokens, np.int64))
 
@@ -124,15 +130,19 @@ class EditableDocument:
             final += 1
             text += self.parts[final]
         parts, tokens = self._encode(text)
-        if len(parts) == final - first + 1:
-            for i, (p, t) in enumerate(zip(parts, tokens), first):
-                self.parts[i], self.tokens[i] = p, t
-                self.char_tree.set(i, len(p))
-                self.token_tree.set(i, t)
-        else:  # another number of segments: the sums are laid out anew, nothing is encoded
-            self.parts[first : final + 1] = parts
-            self.tokens[first : final + 1] = tokens
+        places = final - first + 1
+        if len(parts) > places and sum(map(len, parts[places - 1 :])) > ROOM * self.size:
+            self.parts[first : final + 1], self.tokens[first : final + 1] = parts, tokens
             self._build()
+            return
+        if len(parts) > places:
+            parts[places - 1 :] = ["".join(parts[places - 1 :])]
+            tokens[places - 1 :] = [sum(tokens[places - 1 :])]
+        for i in range(places):
+            p, t = (parts[i], tokens[i]) if i < len(parts) else ("", 0)
+            self.parts[first + i], self.tokens[first + i] = p, t
+            self.char_tree.set(first + i, len(p))
+            self.token_tree.set(first + i, t)
 
     @staticmethod
     def _safe(left: str, right: str) -> bool:
@@ -202,6 +212,19 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None, s
     return rows.mapInArrow(released(_edited_rows(tokenizer, size)), EDITED_DDL)
 
 
+def edited_counts(docs: DataFrame, edits: Column, tokenizer: str | None = None, size: int = SEGMENT) -> DataFrame:
+    """``count_trees`` and ``apply_edits`` in one pass over the texts."""
+    rows = has_columns(docs.withColumn("edits", edits), "doc_id", "text", "edits").withColumn("doc_id", F.col("doc_id").cast("long"))
+    trees, edited = _tree_rows(tokenizer, size), _edited_rows(tokenizer, size)
+
+    def run(batches):
+        for b in batches:
+            for tree in trees([b]):
+                yield from edited([tree.append_column("edits", b.column("edits"))])
+
+    return rows.mapInArrow(released(run), EDITED_DDL)
+
+
 def revision(text: Column) -> Column:
     """The edits of the query: a line put in the middle, the 40 characters at one quarter
     cut, a word swapped at three quarters."""
@@ -215,6 +238,5 @@ def revision(text: Column) -> Column:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents before and after the edits of ``revision``."""
-    trees = count_trees(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    edited = apply_edits(trees, revision(F.col("text")))
+    edited = edited_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), revision(F.col("text")))
     return edited.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), "n_edits", "encoded_chars", F.size("seg_tokens").cast("long").alias("n_segments"))

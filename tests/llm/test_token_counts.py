@@ -10,7 +10,7 @@ from tallyforge.llm import bpe
 from tallyforge.llm import token_counts as T
 
 ENC = bpe.encoder()
-TEXT = st.text(alphabet="ab1 ,.'\n\t é\xa0s漢_", max_size=120)
+TEXT = st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", *"ab1 ,.'\n\t é\xa0s漢_ ab "]), max_size=120).map("".join)
 
 
 @settings(max_examples=200, deadline=None)
@@ -36,6 +36,31 @@ def test_only_the_touched_region_is_encoded_again():
     assert d.count() == ENC.count(d.text())
 
 
+def test_edits_that_change_the_number_of_segments_change_sums_only():
+    rng = random.Random(6)
+    text = " ".join(f"word{i}" for i in range(20_000))
+    d = T.EditableDocument(ENC, text)
+    built = d.laid_out
+    for _ in range(40):
+        a, n, insert = rng.randrange(len(text)), rng.choice((0, 3, 2_000)), rng.choice(("", "xyz ", "more words of it " * 100))
+        text = text[:a] + insert + text[a + n :]
+        d.edit(a, n, insert)
+        assert d.text() == text
+    assert d.count() == ENC.count(text) and d.laid_out == built
+    d.edit(5, 0, "a long insertion " * 2_000)
+    assert d.laid_out == built + 1 and d.count() == ENC.count(d.text())
+
+
+def test_one_segment_where_an_added_token_holds_a_space():
+    class Joined:
+        cuttable, ids, count = False, ENC.ids, ENC.count
+
+    d = T.EditableDocument(Joined(), "word " * 1_000)
+    assert len(d.parts) == 1
+    d.edit(10, 2, "x y")
+    assert len(d.parts) == 1 and d.count() == ENC.count(d.text())
+
+
 def test_sum_tree():
     rng = random.Random(1)
     v = [rng.randint(0, 5) for _ in range(37)]
@@ -53,7 +78,7 @@ def test_sum_tree():
 def test_query_against_full_recount(spark, docs, folder):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "thering,", "of\n", "é"]) for _ in range(rng.randint(0, 900)))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "x" * 5_000), (None, "a b"), (7, rows[7][1]), (103, "long text here " * 20_000)]
+    rows += [(100, None), (101, ""), (102, "x" * 5_000), (104, "<|endoftext|> ab " * 99), (None, "a b"), (7, rows[7][1]), (103, "long text here " * 20_000)]
     table = docs(rows).withColumn("edits", F.lit(1))
     got = T.op3_token_counts(spark, folder(documents=table)).collect()
 
