@@ -7,9 +7,14 @@ blocks, bullets and numbers for lists by depth, table cells in aligned columns,
 ``pre`` as it is and white space collapsed elsewhere. All visible text is written, in the
 order of the page. Nothing recurses, so depth has no limit but memory.
 
-Not visible: head, script, style, template, noscript, embedded media (svg too) and their
-fallback, annotations of formulas, comments, elements with ``hidden`` or ``style`` of ``display:none`` or
-``visibility:hidden``, all but the summary of a closed ``details``.
+Not visible: head, script, style, template, noscript, embedded media and their fallback,
+annotations of formulas, of a drawing all but its ``text`` and ``foreignObject``, comments,
+elements with ``hidden`` or a ``style`` of ``display:none``, all but the summary of a closed
+``details``. Text is unseen where the nearest element that sets ``visibility`` hides it; a
+child may be visible again.
+
+Indentation ends at ``MOST_INDENT`` columns, and the place of an open element is looked up, not
+searched for: a page costs time in proportion to its length, however deep it is.
 
 Defined results: null html gives null text; empty html and html without visible text give
 an empty one; malformed markup never fails; repeated rows give equal results; an empty
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +56,7 @@ _DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*
 _HIDES = {"display": frozenset(("none",)), "visibility": frozenset(("hidden", "collapse"))}
 #: Values besides those that hide; others are no values, and browsers pass over them.
 _GLOBAL = frozenset("inherit initial unset revert revert-layer".split())
+_INHERITS = _GLOBAL - {"initial"}
 _SHOWS = {
     "visibility": _GLOBAL | {"visible"},
     "display": _GLOBAL | frozenset(
@@ -62,8 +69,16 @@ _SHOWS = {
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object video audio canvas svg datalist noembed noframes title".split()
+    "head script style template noscript iframe object video audio canvas datalist noembed noframes title".split()
+)
+#: Parts of a drawing that aren't drawn in their place.
+_UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc title".split())
+#: HTML elements that end a drawing.
+_LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
+MOST_INDENT = 80
 #: Sources of a formula, which readers don't see.
 _NOTES = frozenset(("annotation", "annotation-xml"))
 HEAD = frozenset("base link meta title style script noscript template".split())
@@ -92,13 +107,55 @@ IMPLIED = {
 }
 IMPLIED["tbody"] = IMPLIED["tfoot"] = IMPLIED["thead"]
 _TABLE_TAGS = _CELLS | _SECTIONS | {"tr", "table", "caption"}
+_P, _TABLE, _END_BOUNDS = frozenset(("p",)), frozenset(("table",)), frozenset(("table", "td", "th", "caption"))
+#: An unquoted value at the end of a tag: its "/" closes nothing.
+_VALUE_END = re.compile(r"=[\t\n\f\r ]*[^\t\n\f\r \"'][^\t\n\f\r \"']*/\Z")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "seen")
+    """An element: whether it has a box (``shown``), whether its own text is seen, and for
+    elements of a drawing ``drawing``: 1, or 2 within its text."""
+
+    __slots__ = ("tag", "attributes", "children", "shown", "seen", "drawing")
+
+    def __init__(self, tag: str, attributes: dict[str, str], shown: bool, seen: bool, drawing: int = 0):
+        self.tag, self.attributes, self.children = tag, attributes, []
+        self.shown, self.seen, self.drawing = shown, seen, drawing
+
+
+class OpenElements:
+    """The stack of open elements, and the places of each tag in it."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.places[self.nodes.pop().tag].pop()
 
-    def __init__(self, tag: str, attributes: dict[str, str], seen: bool):
-        self.tag, self.attributes, self.children, self.seen = tag, attributes, [], seen
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def _bound(self, bounds: frozenset, but) -> int:
+        return max((self.places[t][-1] for t in bounds if t not in but and self.places.get(t)), default=0)
+
+    def close(self, tags: frozenset, bounds: frozenset) -> None:
+        """Pop up to the outermost open element of ``tags`` within the boundaries."""
+        held = [self.places[t] for t in tags if self.places.get(t)]
+        if held:
+            bound = self._bound(bounds, tags)
+            found = [places[i] for places in held if (i := bisect_right(places, bound)) < len(places)]
+            if found:
+                self.cut(min(found))
+
+    def pop_to(self, tag: str, bounds: frozenset) -> None:
+        """Pop the innermost open element ``tag`` within the boundaries, and what is in it."""
+        if self.has(tag) and self.places[tag][-1] > self._bound(bounds, (tag,)):
+            self.cut(self.places[tag][-1])
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -110,16 +167,10 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _visible(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in HIDDEN or "hidden" in attributes:
-        return False
-    return not ("style" in attributes and _unseen(attributes["style"]))
-
-
-def _unseen(style: str) -> bool:
-    """Whether the declarations of a style hide: of a property the last valid one counts, an
-    important one before others."""
-    won: dict[str, tuple[bool, bool]] = {}
+def _style(style: str) -> dict[str, str]:
+    """The values of display and visibility that a style sets: of a property the last valid
+    one counts, an important one before others."""
+    won: dict[str, tuple[bool, str]] = {}
     for declaration in _DECLARATION.findall(_COMMENT.sub(" ", style)):
         name, _, value = declaration.lower().partition(":")
         name, (value, mark, important) = name.strip(), value.partition("!")
@@ -129,46 +180,57 @@ def _unseen(style: str) -> bool:
         hides = len(words) == 1 and words[0] in _HIDES[name]
         if not (hides or "var(" in value or words and _SHOWS[name].issuperset(words)):
             continue
-        if mark or not won.get(name, (False, False))[0]:
-            won[name] = (bool(mark), hides)
-    return any(hides for _, hides in won.values())
+        if mark or not won.get(name, (False, ""))[0]:
+            won[name] = (bool(mark), " ".join(words))
+    return {name: value for name, (_, value) in won.items()}
+
+
+def _shown(tag: str, attributes: dict[str, str], style: dict[str, str]) -> bool:
+    """Whether an element has a box: ``hidden`` gives way to a display that is set."""
+    if tag in HIDDEN:
+        return False
+    return style["display"] != "none" if "display" in style else "hidden" not in attributes
+
+
+def _seen(style: dict[str, str], before: bool) -> bool:
+    """Whether text is seen, given what the parent says."""
+    value = style.get("visibility")
+    return before if value is None or value in _INHERITS or "var(" in value else value not in _HIDES["visibility"]
 
 
 def parse(source: str) -> tuple[Node, str]:
     """The tree of a page, and the text of its first title."""
-    root = Node("html", {}, True)
-    stack, title, at, size = [root], None, 0, len(source)
+    root = Node("html", {}, True, True)
+    stack = OpenElements(root)
+    nodes, title, at, size = stack.nodes, None, 0, len(source)
 
     def text(part: str) -> None:
         if not part:
             return
-        top = stack[-1]
-        if top.tag == "head" and not part.isspace():
-            stack.pop()
-            top = stack[-1]
-        if top.seen:
+        if nodes[-1].tag == "head" and not part.isspace():
+            stack.cut(len(nodes) - 1)
+        top = nodes[-1]
+        if top.shown and top.seen and top.drawing != 1:
             top.children.append(html.unescape(part) if "&" in part else part)
 
-    def close(tags: frozenset, bounds: frozenset) -> bool:
-        """Pop up to the outermost open element of ``tags`` within the boundaries."""
-        depth = None
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in tags:
-                depth = i
-            elif tag in bounds:
-                break
-        if depth is not None:
-            del stack[depth:]
-        return depth is not None
-
     def push(tag: str, attributes: dict[str, str]) -> Node:
-        seen = stack[-1].seen and _visible(tag, attributes)
-        if seen and tag in _NOTES and any(x.tag == "math" for x in stack):
-            seen = False
-        node = Node(tag, attributes, seen)
-        stack[-1].children.append(node)
-        stack.append(node)
+        node = child(tag, attributes)
+        stack.push(node)
+        return node
+
+    def child(tag: str, attributes: dict[str, str]) -> Node:
+        parent = nodes[-1]
+        style = _style(attributes["style"]) if "style" in attributes else {}
+        shown, drawing = parent.shown and _shown(tag, attributes, style), parent.drawing
+        if tag == "svg":
+            drawing = 1
+        elif drawing:
+            drawing = 2 if tag == "text" else 0 if tag == "foreignobject" else drawing
+            shown = shown and tag not in _UNDRAWN
+        elif tag in _NOTES and stack.has("math"):
+            shown = False
+        node = Node(tag, attributes, shown, _seen(style, parent.seen), drawing)
+        parent.children.append(node)
         return node
 
     while at < size:
@@ -184,54 +246,55 @@ def parse(source: str) -> tuple[Node, str]:
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}, stack[-1].seen))
+                child("br", {})
             elif tag in ("html", "body"):
                 pass
             elif tag in _TABLE_TAGS:
-                inner = frozenset() if tag == "table" else frozenset(("table",))
-                _pop_to(stack, tag, inner)
+                stack.pop_to(tag, frozenset() if tag == "table" else _TABLE)
             else:
-                _pop_to(stack, tag, frozenset(("table", "td", "th", "caption")))
+                stack.pop_to(tag, _END_BOUNDS)
             continue
         attributes = _attributes(m[3])
-        if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+        if nodes[-1].tag == "head" and tag not in HEAD:
+            stack.cut(len(nodes) - 1)
         if tag in ("html", "body"):
-            if not _visible(tag, attributes):
-                stack[-1].seen = False
-            continue
-        if tag in CLOSES_P:
-            close(frozenset(("p",)), _SCOPE)
-        if tag in IMPLIED:
-            close(*IMPLIED[tag])
-        if tag in _CELLS and stack[-1].tag != "tr" and any(x.tag == "table" for x in stack):
-            push("tr", {})
-        if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                stack[-1].children.append(Node(tag, attributes, stack[-1].seen and _visible(tag, attributes)))
+            style = _style(attributes.get("style", ""))
+            nodes[-1].shown = nodes[-1].shown and _shown(tag, attributes, style)
+            nodes[-1].seen = _seen(style, nodes[-1].seen)
             continue
+        if nodes[-1].drawing and tag in _LEAVES:
+            depth = len(nodes)
+            while nodes[depth - 1].drawing:
+                depth -= 1
+            stack.cut(depth)
+        if nodes[-1].drawing:
+            if m[3].endswith("/") and not _VALUE_END.search(m[3]):
+                child(tag, attributes)
+                continue
+        else:
+            if tag in CLOSES_P:
+                stack.close(_P, _SCOPE)
+            if tag in IMPLIED:
+                stack.close(*IMPLIED[tag])
+            if tag in _CELLS and nodes[-1].tag != "tr" and stack.has("table"):
+                push("tr", {})
+            if tag in VOID:
+                if tag in ("br", "hr", "wbr"):
+                    child(tag, attributes)
+                continue
         node = push(tag, attributes)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\t\n\f\r />]){_PAIRS}>?", re.I).search(source, at)
             body = source[at : end.start() if end else size]
             at = end.end() if end else size
-            if tag == "title" and title is None:
+            if tag == "title" and title is None and not node.drawing:
                 title = _SPACES.sub(" ", html.unescape(body)).strip()
-            if node.seen:
+            if node.shown and node.seen:
                 node.children.append(html.unescape(body) if tag == "textarea" else body)
-            stack.pop()
+            stack.cut(len(nodes) - 1)
     return root, title or ""
 
 
-def _pop_to(stack: list[Node], tag: str, bounds: frozenset) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in bounds:
-            return
-
-
 class Flow:
     """Text in lines: collapses white space, and the blank lines that blocks ask for."""
 
@@ -240,7 +303,7 @@ class Flow:
         self.line: list[str] = []
         self.space = False  # a space is due before the next word
         self.blank = False  # a blank line is due before the next text
-        self.indent = ""
+        self.indent = 0  # columns
         self.marker = ""  # of a list item, due before its text
 
     def words(self, text: str) -> None:
@@ -273,14 +336,9 @@ class Flow:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = self.space = False
-            if self.marker:
-                self.line.append(self.indent[: -len(self.marker)] if self.indent else "")
-                self.line.append(self.marker)
-                self.line.append("")
-                self.marker = ""
-                return
-            self.line.append(self.indent)
-            self.line.append("")
+            before = min(MOST_INDENT, self.indent - len(self.marker))
+            self.line += [" " * before, self.marker, ""]
+            self.marker = ""
 
     def brk(self) -> None:
         """End the line; an empty one stays empty."""
@@ -327,6 +385,12 @@ class Table:
             for c, (lines, wide) in cells.items():
                 if wide == 1:
                     width[c] = max(width.get(c, 0), *(len(x) for x in lines), 0)
+        for c, lines, wide in sorted(((c, x, n) for cells in grid for c, (x, n) in cells.items() if n > 1), key=lambda x: x[2]):
+            inner = sum(width.get(k, 0) for k in range(c, c + wide)) + 2 * (wide - 1)
+            last = c + wide - 1  # what doesn't fit widens the last column that the cell spans
+            width[last] = width.get(last, 0) + max(0, max(map(len, lines)) - inner)
+            for k in range(c, last):
+                width.setdefault(k, 0)
         out = list(self.caption)
         for cells in grid:
             for i in range(max((len(lines) for lines, _ in cells.values()), default=0)):
@@ -363,18 +427,22 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not node.seen:
+            if not node.shown:
                 continue
             if tag == "br":
+                if not node.seen:
+                    continue
                 flow._begin() if flow.blank else None
                 flow.brk()
                 continue
             if tag == "wbr":
                 continue
-            if tag in BLOCK:
+            if tag in BLOCK or node.drawing and tag == "text":
                 nested = lists and tag in ("ul", "ol", "menu", "dir")
                 flow.end(tag in SPACED and not nested)
-            if tag in ("ul", "ol", "menu", "dir"):
+            if node.drawing:
+                pass
+            elif tag in ("ul", "ol", "menu", "dir"):
                 start = node.attributes.get("start", "1")
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, flow.indent])
             elif tag == "li":
@@ -386,9 +454,9 @@ def render(root: Node) -> str:
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 base = lists[-1][2] if lists else flow.indent
-                flow.marker, flow.indent = mark, base + " " * len(mark)
+                flow.marker, flow.indent = mark if node.seen else "", base + len(mark)
             elif tag == "dd" or tag == "blockquote":
-                flow.indent += "  "
+                flow.indent += 2
             elif tag == "pre" or tag == "textarea" or tag == "xmp":
                 pre += 1
             elif tag == "table":
@@ -406,15 +474,19 @@ def render(root: Node) -> str:
                     continue
                 todo.append((child, False))
             continue
+        if node.drawing:
+            if tag == "text":
+                flow.end(False)
+            continue
         if tag in ("ul", "ol", "menu", "dir"):
             flow.end(False)
             flow.indent = lists.pop()[2]
         elif tag == "li":
             flow.end(False)
-            flow.marker, flow.indent = "", lists[-1][2] if lists else ""
+            flow.marker, flow.indent = "", lists[-1][2] if lists else 0
         elif tag == "dd" or tag == "blockquote":
             flow.end(False)
-            flow.indent = flow.indent[:-2]
+            flow.indent -= 2
         elif tag == "pre" or tag == "textarea" or tag == "xmp":
             pre -= 1
         elif tag == "table":
