@@ -13,7 +13,9 @@ gap, a symbol of its own.
 Defined results: null text and text without a letter is ``und`` with score 0; a score is the
 cosine, from 0 (negative ones too) to 1; ties go to the first language in order of name;
 rows with a null or empty ``lang`` teach nothing; with nothing to learn from, every text is
-``und``; a null ``doc_id`` counts as not held out; other columns are ignored.
+``und``; a null ``doc_id`` counts as not held out; other columns are ignored, whatever their
+names. Labels are taken for languages up to ``MAX_LANGUAGES`` distinct ones, counted before
+anything is collected; more are an error, since the model holds a vector for each.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .shared import has_columns, materialise, released
 
 N = 3
 DIMENSIONS = 1024
+MAX_LANGUAGES = 20_000
 UNDETERMINED = "und"
 _GAP = 0
 _PART = 1 << 20  # characters counted at a time
@@ -195,11 +198,13 @@ def learn(docs: DataFrame, n: int = N, dimensions: int = DIMENSIONS) -> tuple[li
 
     One vector for each language and task is exchanged; one for each language is returned.
     """
-    parts = (
-        has_columns(docs, "lang", "text")
-        .where("lang is not null and lang <> ''")
-        .mapInArrow(released(_profile_rows(n, dimensions)), "lang string, part array<long>")
+    labelled = has_columns(docs, "lang", "text").where("lang is not null and lang <> ''")
+    parts = materialise(
+        labelled.mapInArrow(released(_profile_rows(n, dimensions)), "lang string, part array<long>"), "language-parts"
     )
+    languages = parts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} distinct values")
     sums = (
         parts.select("lang", F.posexplode("part").alias("i", "v"))
         .groupBy("lang", "i")
@@ -219,44 +224,65 @@ def learn(docs: DataFrame, n: int = N, dimensions: int = DIMENSIONS) -> tuple[li
     return names, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-def _predicted_rows(names: list[str], prototypes: np.ndarray, n: int, dimensions: int, text: str):
-    weights = prototypes.T.astype(np.float32)
+class Model:
+    """Prototypes, to be broadcast; decide(texts) gives languages and cosines."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        sp = space(n, dimensions)
-        for b in batches:
-            langs, scores = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
-            held: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
-
-            def decide():
-                v = sp.bundles([c for _, c in held])
-                norm = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                cosine = (v / norm) @ weights
-                for (i, _), row in zip(held, cosine):
-                    best = int(row.argmax())
-                    langs[i], scores[i] = names[best], min(1.0, max(0.0, float(row[best])))
-                held.clear()
-
-            for i, t in enumerate(b.column(text)):
-                counts = sp.counts(t.as_py() or "")
-                if names and len(counts[0]) and _has_letter(counts[0]):
-                    held.append((i, counts))
-                    if len(held) == _ROWS:
-                        decide()
-            if held:
-                decide()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*b.schema.names, "lang_pred", "score"],
-            )
+    def __init__(self, names: list[str], prototypes: np.ndarray, n: int, dimensions: int):
+        self.names, self.weights, self.n, self.dimensions = names, prototypes.T.astype(np.float32), n, dimensions
+
+    def decide(self, texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
+        """Of each text the language with the largest cosine, which may be negative; ``und``
+        without a letter, None where there are letters but no prototypes."""
+        sp = space(self.n, self.dimensions)
+        langs, cosines = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        held: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+
+        def bundle() -> None:
+            v = sp.bundles([c for _, c in held])
+            norm = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            for (i, _), row in zip(held, (v / norm) @ self.weights):
+                best = int(row.argmax())
+                langs[i], cosines[i] = self.names[best], float(row[best])
+            held.clear()
+
+        for i, t in enumerate(texts):
+            counts = sp.counts(t.as_py() or "")
+            if not (len(counts[0]) and _has_letter(counts[0])):
+                continue
+            if not self.names:
+                langs[i] = None
+                continue
+            held.append((i, counts))
+            if len(held) == _ROWS:
+                bundle()
+        if held:
+            bundle()
+        return langs, cosines
+
+
+def _model(spark: SparkSession, names: list[str], prototypes: np.ndarray, n: int, dimensions: int):
+    return spark.sparkContext.broadcast(Model(names, prototypes, n, dimensions))
 
-    return run
+
+def _predicted(model, texts: pa.Array) -> list[pa.Array]:
+    """lang_pred and score."""
+    langs, cosines = model.value.decide(texts)
+    return [pa.array([x or UNDETERMINED for x in langs], pa.string()), pa.array(np.clip(cosines, 0.0, 1.0), pa.float64())]
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, n: int = N, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` (which has a column text) with lang_pred and score."""
+    """``docs`` (which has a column text) with lang_pred and score; columns of these names
+    that it has are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    model = _model(docs.sparkSession, names, prototypes, n, dimensions)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(released(_predicted_rows(names, prototypes, n, dimensions, "text")), f"{fields}, lang_pred string, score double")
+
+    def run(batches):
+        for b in batches:
+            found = _predicted(model, b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):
@@ -266,30 +292,37 @@ def held_out(doc_id="doc_id"):
 def identify(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score. Learns from the
     rows that aren't held out; predicts from the text alone."""
-    names, prototypes = learn(docs.where(~held_out()))
+    model = _model(docs.sparkSession, *learn(docs.where(~held_out())), N, DIMENSIONS)
     rows = has_columns(docs.withColumn("held_out", held_out()), "doc_id", "held_out", "text")
     # the text goes no further than the prediction
     ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    inner = _predicted_rows(names, prototypes, N, DIMENSIONS, "text")
 
     def run(batches):
-        for b in inner(batches):
-            yield b.drop_columns(["text"])
+        for b in batches:
+            found = _predicted(model, b.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), *found], names=["doc_id", "held_out", "lang_pred", "score"]
+            )
 
     return rows.mapInArrow(released(run), ddl)
 
 
-def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: those with any letter."""
-    names, prototypes = learn(docs.where(~held_out()))
-    inner = _predicted_rows(names, prototypes, N, DIMENSIONS, "text")
+def keep_languages(docs: DataFrame, languages: list[str] | None = None, min_cosine: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be in one of ``languages`` (all that are
+    learned, unless given) with a cosine above ``min_cosine``: at 0, a text goes that is no
+    nearer to any language than what all languages share is, and so does one without a letter.
+    Without any labelled text nothing is known of languages; then texts without a letter go."""
+    model = _model(docs.sparkSession, *learn(docs.where(~held_out())), N, DIMENSIONS)
+    wanted = None if languages is None else frozenset(languages)
 
     def run(batches):
-        import pyarrow.compute as pc
-
-        for b in inner(batches):
-            b = b.filter(pc.not_equal(b.column("lang_pred"), UNDETERMINED))
-            yield b.drop_columns(["lang_pred", "score"])
+        for b in batches:
+            langs, cosines = model.value.decide(b.column("text"))
+            keep = [
+                x is None or (x != UNDETERMINED and c > min_cosine and (wanted is None or x in wanted))
+                for x, c in zip(langs, cosines.tolist())
+            ]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(released(run), docs.schema)
 

@@ -1,4 +1,10 @@
 import random
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import language_id as L
 
@@ -18,8 +24,6 @@ def test_held_out_accuracy(docs):
     rows = corpus()
     got = {r["doc_id"]: r for r in L.identify(docs(rows)).collect()}
     want = {d: lang for d, _, lang in rows}
-    import zlib
-
     for d in want:
         assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
         assert 0 <= got[d]["score"] <= 1
@@ -33,13 +37,76 @@ def test_nulls_and_letterless_texts(docs):
     assert [got[d]["lang_pred"] for d in (900, 901, 902)] == ["und"] * 3 and got[900]["score"] == 0
     assert got[None]["held_out"] is False and got[None]["lang_pred"] == "en"
     assert got[903]["lang_pred"] == "de" and got[904]["lang_pred"] in WORDS
-    out = L.drop_undetermined(docs(rows))
-    assert out.columns == docs([]).columns and out.count() == len(rows) - 3
 
 
 def test_nothing_to_learn_from(docs):
     assert {r["lang_pred"] for r in L.identify(docs([(1, "some text", None)])).collect()} == {"und"}
     assert L.identify(docs([])).count() == 0
+    rows = [(1, "some text", None), (2, "12 -", None), (3, None, None), (4, "é", "")]
+    assert {r["doc_id"] for r in L.keep_languages(docs(rows)).collect()} == {1, 4}
+
+
+def naive(rows):
+    """doc_id -> (best language, cosine): n-grams of all texts bound, bundled and compared one
+    at a time. Letters' vectors are the operator's; all else is done again."""
+    sp = L.Space()
+    vectors = {}
+
+    def gram(g):
+        if g not in vectors:
+            v = np.ones(L.DIMENSIONS, int)
+            for j, c in enumerate(reversed(g)):
+                v = v * np.roll(sp.letter(0 if c == " " else ord(c)).astype(int), j)
+            vectors[g] = v
+        return vectors[g]
+
+    def bundle(text):
+        letters = "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+        if not letters.strip():
+            return None
+        s = f" {' '.join(letters.split())} "
+        return sum((gram(s[i : i + 3]) for i in range(len(s) - 2)), np.zeros(L.DIMENSIONS, int))
+
+    learned = {}
+    for d, t, lang in rows:
+        v = bundle(t)
+        if lang and v is not None and not (d is not None and zlib.crc32(str(d).encode()) % 4 == 2):
+            learned[lang] = learned.get(lang, 0) + v
+    names = sorted(learned)
+    units = [learned[x] / np.linalg.norm(learned[x]) for x in names]
+    units = [u - sum(units) / len(units) for u in units] if len(units) > 1 else units
+    out = {}
+    for d, t, _ in rows:
+        v = bundle(t)
+        cosines = [] if v is None else [float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)) for u in units]
+        out[d] = (names[int(np.argmax(cosines))], max(cosines)) if cosines else ("und", 0.0)
+    return out
+
+
+def test_predictions_and_what_is_kept_against_brute_force(docs):
+    rng = random.Random(4)
+    rows = corpus(90) + [(500 + i, "".join(rng.choice("abcdeéß .7") for _ in range(rng.randint(1, 9))), None) for i in range(80)]
+    rows += [(900, None, "en"), (901, "", "en"), (902, "12 --", "de"), (903, "Ünd DER!", None)]
+    want = naive(rows)
+    table = docs(rows).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y"))
+    for r in L.identify(table).collect():
+        lang, cosine = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - max(0.0, cosine)) < 1e-3
+    out = L.keep_languages(table)
+    assert out.columns == table.columns
+    far = {d for d, (_, c) in want.items() if abs(c) > 1e-4}
+    kept = {r["doc_id"] for r in out.collect()}
+    assert kept & far == {d for d in far if want[d][1] > 0} and 0 < len(kept) < len(rows) - 3
+    english = {r["doc_id"] for r in L.keep_languages(table, ["en"], 0.05).collect()}
+    assert english == {d for d, (x, c) in want.items() if x == "en" and c > 0.05}
+    names, prototypes = L.learn(table)
+    assert L.predict(table, names, prototypes).columns[-2:] == ["lang_pred", "score"]
+
+
+def test_more_labels_than_languages_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="distinct"):
+        L.learn(docs(corpus(20)))
 
 
 def test_labels_source_and_ids_do_not_enter_a_prediction(docs):
@@ -63,8 +130,6 @@ def test_counts_do_not_depend_on_the_part_size(monkeypatch):
 
 def test_vectors_bind_permuted_letters():
     sp = L.Space()
-    import numpy as np
-
     a, b, c = (sp.letter(ord(x)).astype(int) for x in "abc")
     code = (ord("a") << 42) | (ord("b") << 21) | ord("c")
     assert (sp.gram(code) == np.roll(a, 2) * np.roll(b, 1) * c).all()
