@@ -22,7 +22,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_path, sized
+from .shared import materialise, shared_path, sized, unused
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Small states would else take some megabytes of preallocated files each; all states of an
@@ -44,10 +44,19 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+_SPECIAL = "\\*?[]{}"
+
+
+def literal(path: str) -> str:
+    """A path for readers that take patterns, with the characters of patterns escaped."""
+    return "".join(f"\\{c}" if c in _SPECIAL else c for c in path.rstrip("/"))
+
+
 def glob_of(path: str) -> str:
     """A pattern for exactly this path: file streams take one file only as a pattern."""
     path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+    at = max(i for i, c in enumerate(path) if c.isalnum())
+    return f"{literal(path[:at])}[{path[at]}]{literal(path[at + 1 :])}"
 
 
 def _place() -> Column:
@@ -86,7 +95,7 @@ class StreamingDedup:
 
     def feed(self, path: str) -> None:
         """Run all of the Parquet table ``path`` that the state hasn't seen through it."""
-        schema = self.spark.read.parquet(path).select("doc_id", "text").schema
+        schema = self.spark.read.parquet(literal(path)).select("doc_id", "text").schema
         stream = (
             self.spark.readStream.schema(schema)
             .option("maxBytesPerTrigger", self.batch_bytes)
@@ -136,7 +145,7 @@ def exact_dedup(
     dedup.feed(path)
     with _state_conf(spark):
         state = materialise(dedup.state(), "dedup-groups")
-    docs = spark.read.parquet(path).select(
+    docs = spark.read.parquet(literal(path)).select(
         "doc_id",
         normalised(F.col("text")).alias("text"),
         digest(F.col("text")).alias("sha256"),
@@ -186,18 +195,12 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
     spark, path = docs.sparkSession, table_path(docs)
     rows = materialise(exact_dedup(spark, path, places=True).select("file", "row", "kept"), "dedup-rows")
-    gone = rows.where("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    file, row = unused(docs, "file"), unused(docs, "row")
+    gone = rows.where("NOT kept").select(F.col("file").alias(file), F.col("row").alias(row))
     columns = [F.col(f"`{n}`") for n in docs.columns]
-    placed = (
-        spark.read.schema(docs.schema)
-        .parquet(path)
-        .select(
-            *columns,
-            F.col("_metadata.file_path").alias("__file"),
-            F.col("_metadata.row_index").alias("__row"),
-        )
-    )
-    return placed.join(sized(gone), ["__file", "__row"], "left_anti").select(*columns)
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    placed = spark.read.schema(docs.schema).parquet(literal(path)).select(*columns, *place)
+    return placed.join(sized(gone), [file, row], "left_anti").select(*columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

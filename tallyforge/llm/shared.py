@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (root or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -71,6 +73,14 @@ def has_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import exact_dedup as X
@@ -54,6 +55,25 @@ def test_drop_keeps_columns_and_one_row_a_text(spark, docs, folder):
         assert out.count() == len({t or "" for _, t in ROWS})
 
 
+@pytest.mark.parametrize("names", [("__file", "__row"), ("file", "row"), ("_file", "FILE"), ("path", "_metadata_x")])
+def test_drop_with_columns_of_its_own_names(docs, names):
+    table = docs(ROWS)
+    for n in names:
+        table = table.withColumn(n, F.lit(1))
+    out = X.drop_duplicates(table)
+    assert out.columns == table.columns and out.count() == len({t or "" for _, t in ROWS})
+
+
+def test_paths_with_characters_of_patterns(docs, tmp_path):
+    place = tmp_path / "a[b]{c,d}*?" / "documents.parquet"
+    docs(ROWS).coalesce(1).write.parquet(f"file://{tmp_path}/plain")
+    place.parent.mkdir()
+    (tmp_path / "plain").rename(place)
+    spark = docs(ROWS).sparkSession
+    check(X.exact_dedup(spark, f"file://{place}"), ROWS)
+    assert X.drop_duplicates(spark.read.parquet(X.literal(f"file://{place}"))).count() == len({t or "" for _, t in ROWS})
+
+
 def test_state_goes_on(spark, docs, folder, tmp_path):
     path = folder(documents=docs(ROWS)) + "/documents.parquet"
     first = X.StreamingDedup(spark, f"file://{tmp_path}/state", batch_bytes=1024)
