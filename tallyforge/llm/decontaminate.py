@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import batch, bounded, has_columns, materialise, released
@@ -32,6 +32,7 @@ from .wordhash import ALNUM, LOWER, grams, winnowed, words
 SPAN = 10
 K = 5
 BLOCK_WORDS = 1_000_000
+_RANGES = 1024  # of item hashes, by whose sizes items are dealt into blocks
 
 
 class ItemIndex:
@@ -178,11 +179,23 @@ def _hit_rows(index, only_hits: bool):
 
 
 def _item_blocks(items: DataFrame, block_words: int) -> tuple[DataFrame, int]:
-    """Items with a block number: a running sum of text bytes, which bound the words."""
-    sized = items.withColumn("size", F.octet_length("text") + F.lit(16)).where("size > 16")
-    total = sized.agg(F.sum("size").alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (2 * block_words)))
-    return sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+    """Distinct items with a block number. A block holds 2 * ``block_words`` bytes of text and
+    what its last item is longer (a word takes two bytes or more with the gap after it). Items
+    are dealt by a running size: within ranges of their hash, plus the size of earlier ranges."""
+    sized = (
+        items.where("text is not null").distinct()
+        .withColumn("size", F.octet_length("text") + F.lit(16))
+        .where("size > 16")
+        .withColumn("range", F.pmod(F.xxhash64("item_id", "text"), F.lit(_RANGES)))
+    )
+    sized = materialise(sized, "items")
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = sized.groupBy("range").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    running = F.sum("size").over(Window.partitionBy("range").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = sized.join(F.broadcast(ranges.drop("n")), "range").withColumn("upto", running + F.col("before") - F.col("size"))
+    dealt = materialise(dealt.select("item_id", "text", F.floor(F.col("upto") / (2 * block_words)).alias("block")), "item-blocks")
+    last = dealt.agg(F.max("block").alias("n")).first()["n"]
+    return dealt, 1 if last is None else int(last) + 1
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -191,7 +204,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     spark = docs.sparkSession
     docs = has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     items = has_columns(items, "item_id", "text").select(F.col("item_id").cast("string"), "text")
-    items = materialise(items.where("text is not null"), "items")
     blocked, blocks = _item_blocks(items, block_words)
 
     def index(block: int):
@@ -247,8 +259,8 @@ def _count_rows(batches):
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item hits; rows are matched within their partition."""
     spark = docs.sparkSession
-    rows = has_columns(items, "item_id", "text").select(F.col("item_id").cast("string"), "text").where("text is not null")
-    blocked, blocks = _item_blocks(materialise(rows, "items"), BLOCK_WORDS)
+    rows = has_columns(items, "item_id", "text").select(F.col("item_id").cast("string"), "text")
+    blocked, blocks = _item_blocks(rows, BLOCK_WORDS)
     for block in range(blocks):
         found = blocked.where(F.col("block") == block).select("item_id", "text").collect()  # bounded: one block
         held = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in found], [r["text"] for r in found]))
