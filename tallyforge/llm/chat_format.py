@@ -192,7 +192,9 @@ def _read_rows(batches):
             for t in parser.feed(r["chunk"]):
                 n += 1
                 all_turns.update(f"{t.role}\n{t.text}\n".encode())
-                if r["loss"] and (t.start, t.end) == (r["body_start"], r["body_end"]):
+                if (t.start, t.end) != (r["body_start"], r["body_end"]) or r["loss"] != (t.role == "assistant"):
+                    raise ValueError(f"conversation {conv_id}: the mask of turn {r['number']} isn't where its body is read")
+                if r["loss"]:
                     chars += len(t.text)
                     loss.update(t.text.encode())
         parser.done()
