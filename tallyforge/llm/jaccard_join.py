@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bounded, has_columns, materialise, released, row_groups, session_conf, shuffle_partitions, sized
+from .shared import bounded, has_columns, materialise, released, row_groups, session_conf, settled, shuffle_partitions, sized, unused
 from .wordhash import NON_SPACE, grams, mix, words
 
 K = 5
@@ -480,7 +480,7 @@ def jaccard_classes(
 
 def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], block_docs: int, block_tokens: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = settled(has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), "jaccard-input")
     slim = materialise(docs.mapInArrow(released(_doc_rows(k)), "doc_id long, n long, key binary"), "jaccard-docs")
     total = slim.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(shuffle_partitions(spark), -(-total // BUCKET))
@@ -550,13 +550,19 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], block_docs: in
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class (and those with a null one); of
-    rows with one doc_id all stay or none."""
-    found = materialise(jaccard_classes(docs).select("doc_id", "component_id"), "jaccard-found")
-    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    gone = materialise(gone.where("NOT kept").select("doc_id"), "jaccard-gone")
+    """One row of each class of ``docs`` stays: that with the smallest doc_id (null ranks last),
+    of rows with one doc_id the first. Rows without words are classes of their own."""
+    docs = settled(docs, "jaccard-input")
+    rid = unused(docs, "rid")
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    classes = jaccard_classes(numbered.select(F.col(rid).alias("doc_id"), "text"))
+    found = materialise(classes.select(F.col("doc_id").alias("rid"), F.col("component_id").alias("class")), "jaccard-found")
+    ids = numbered.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    kept = found.join(ids, "rid").groupBy("class").agg(F.min(rank)["rid"].alias("rid"))
+    gone = materialise(found.select("rid").join(kept.select("rid"), "rid", "left_anti"), "jaccard-gone")
     columns = [F.col(f"`{n}`") for n in docs.columns]
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*columns)
+    return numbered.join(sized(gone.withColumnRenamed("rid", rid)), rid, "left_anti").select(*columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard_join as J
 from tallyforge.llm import wordhash as W
@@ -88,12 +89,21 @@ def test_hot_group_of_near_copies(docs):
     assert found(J.jaccard_classes(docs(rows))) == brute(rows)
 
 
-def test_one_of_each_class_stays(docs):
-    rows = corpus(1, 80) + [(None, "lonely words here")]
-    want = {c for d, _, c in brute(rows) if d != "None"}
-    out = J.drop_near_duplicates(docs(rows))
-    assert out.columns == docs([]).columns
-    assert {str(r["doc_id"]) for r in out.collect()} == want | {"None"}
+def test_one_row_of_each_class_stays(docs):
+    rows = corpus(1, 80)
+    near = rows[0][1] + " more"
+    rows += [(None, "lonely words here"), (None, near), (rows[0][0], near), (7, rows[3][1]), (7, rows[3][1]), (300, None), (300, "")]
+    table = docs(rows).coalesce(1).withColumn("rid", F.lit("x")).withColumn("class", F.lit(1)).withColumn("_rid", F.lit(2))
+    label = {}
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    for i, _, c in brute(numbered):
+        label.setdefault(c, []).append(int(i))
+    want = [min(v, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for v in label.values()]
+    out = J.drop_near_duplicates(table)
+    assert out.columns == table.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(str(rows[i]) for i in want)
+    clash = J.jaccard_classes(table.withColumn("key", F.lit(1)).withColumn("n", F.lit(1)))
+    assert found(clash) == brute(rows)
 
 
 @settings(max_examples=60, deadline=None)

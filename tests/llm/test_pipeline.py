@@ -1,10 +1,13 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tallyforge.llm import queries
 from tallyforge.llm.packing import pack
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_jaccard_join import brute as classes
+from tests.llm.test_language_id import naive as languages
 from tests.llm.test_packing import check
 
 
@@ -26,7 +29,8 @@ def corpus():
 
 
 def brute(rows, items):
-    rows = [(d, t) for d, t in rows if t and any(c.isalpha() for c in t)]
+    cosine = languages([(d, t, "en") for d, t in rows])
+    rows = [(d, t) for d, t in rows if cosine[d][1] > 0]
     last = {}
     for d, t in rows:
         last[t] = max(d, last.get(t, d))
@@ -57,6 +61,21 @@ def test_stages_are_as_declared(spark, docs, folder):
     assert "ids" in pack(table).columns
 
 
+def test_stages_with_clashing_columns_and_without_labels(spark, docs, folder):
+    rows, items = corpus()
+    table = docs([(d, t, None) for d, t in rows])
+    for name in ("score", "lang_pred", "__file", "__row", "file", "row", "rid", "key", "n", "digest", "kept", "item_id"):
+        table = table.withColumn(name, F.lit("x"))
+    place = folder(documents=table, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    docs_ = table
+    for name, stage in P.STAGES[:-1]:
+        docs_ = stage(spark, docs_, place)
+        assert docs_.columns == table.columns, name
+        docs_ = spark.createDataFrame(docs_.collect(), table.schema)
+    assert {r["doc_id"] for r in docs_.collect()} == set(brute(rows, items))
+    assert {r["doc_id"] for r in P.STAGES[-1][1](spark, docs_, place).collect()} == set(brute(rows, items))
+
+
 def test_every_operator_has_its_query():
     assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
