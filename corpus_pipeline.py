@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.decontaminate import drop_contaminated
 from tallyforge.llm.exact_dedup import drop_duplicates
 from tallyforge.llm.jaccard_join import drop_near_duplicates
-from tallyforge.llm.language_id import drop_undetermined
+from tallyforge.llm.language_id import keep_languages
 from tallyforge.llm.packing import pack
 from tallyforge.llm.shared import materialise
 
+#: Languages to keep; None is every one that the labels of documents name.
+LANGUAGES: list[str] | None = None
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language can be told, for want of any letter, go."""
-    return drop_undetermined(docs)
+    """Texts that are in no language of LANGUAGES go: those without a letter, those that are no
+    nearer to any learned profile than what all share, and those of other languages."""
+    return keep_languages(docs, LANGUAGES)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
