@@ -107,7 +107,7 @@ SPLIT = {
 SOFT_DOUBLE = {19: [6], 18: [2, 3, 4, 5, 6], 17: [3, 4, 5, 6], 16: [4, 5, 6], 15: [4, 5, 6], 14: [5, 6], 13: [5, 6]}
 HARD_DOUBLE = {11: [2, 3, 4, 5, 6, 7, 8, 9, 10, 11], 10: [2, 3, 4, 5, 6, 7, 8, 9], 9: [3, 4, 5, 6]}
 STAND_FROM = {13: [2, 3, 4, 5, 6], 14: [2, 3, 4, 5, 6], 15: [2, 3, 4, 5, 6], 16: [2, 3, 4, 5, 6], 12: [4, 5, 6]}
-#: Count indices: (total, dealer) -> least true count to do it.
+#: Fixed values of the count indices: (total, dealer) -> least true count to do it.
 INDEX_SURRENDER = {(14, 10): 3, (15, 9): 2, (15, 10): 0, (15, 11): -1}
 INDEX_SPLIT_TENS = {5: 5, 6: 4}
 INDEX_PLAYS = {
@@ -136,51 +136,98 @@ def _listed(table: dict[int, list[int]], key: Column, dealer: Column) -> Column:
     return found
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a struct that is computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def basic_action(hand: Column, dealer_card: Column, legal: Column) -> Column:
     """The basic table's action among the legal ones (an array of names)."""
-    t, soft, dealer = total(hand), is_soft(hand), _upcard(dealer_card)
     can = {a: F.array_contains(legal, a) for a in ("surrender", "split", "double")}
-    soft_action = (
-        F.when(t >= 20, "stand")
-        .when(can["double"] & _listed(SOFT_DOUBLE, t, dealer), "double")
-        .when((t == 19) | ((t == 18) & (dealer <= 8)), "stand")
-        .otherwise("hit")
-    )
-    hard_action = (
-        F.when((t >= 17) | _listed(STAND_FROM, t, dealer), "stand")
-        .when(can["double"] & _listed(HARD_DOUBLE, t, dealer), "double")
-        .otherwise("hit")
-    )
-    return (
-        F.when(can["surrender"] & ~soft & _listed(SURRENDER, t, dealer), "surrender")
-        .when(can["split"] & is_pair(hand) & _listed(SPLIT, F.element_at(hand, 1), dealer), "split")
-        .when(soft, soft_action)
-        .otherwise(hard_action)
-    )
+
+    def decide(h: Column) -> Column:
+        t, soft, dealer = h["total"], h["soft"], h["dealer"]
+        soft_action = (
+            F.when(t >= 20, "stand")
+            .when(can["double"] & _listed(SOFT_DOUBLE, t, dealer), "double")
+            .when((t == 19) | ((t == 18) & (dealer <= 8)), "stand")
+            .otherwise("hit")
+        )
+        hard_action = (
+            F.when((t >= 17) | _listed(STAND_FROM, t, dealer), "stand")
+            .when(can["double"] & _listed(HARD_DOUBLE, t, dealer), "double")
+            .otherwise("hit")
+        )
+        return (
+            F.when(can["surrender"] & ~soft & _listed(SURRENDER, t, dealer), "surrender")
+            .when(can["split"] & is_pair(hand) & _listed(SPLIT, F.element_at(hand, 1), dealer), "split")
+            .when(soft, soft_action)
+            .otherwise(hard_action)
+        )
+
+    state = F.struct(total(hand).alias("total"), is_soft(hand).alias("soft"), _upcard(dealer_card).alias("dealer"))
+    return _bound(state, decide)
+
+
+#: Hands that are surrendered rather than played by their index.
+_SURRENDER_FIRST = ((15, 10), (16, 9), (16, 10))
+
+
+def _by_hand(table: dict, value) -> Column:
+    """(total, dealer) -> a value of the table, as a map keyed by one number."""
+    return F.create_map(*[F.lit(x) for (t, d), v in table.items() for x in (100 * t + d, value(v))])
 
 
 def count_action(hand: Column, dealer_card: Column, legal: Column, count: Column) -> Column:
-    """The basic action, overridden where a count index says so."""
-    t, soft, dealer = total(hand), is_soft(hand), _upcard(dealer_card)
-    can = {a: F.array_contains(legal, a) for a in ("hit", "surrender", "split", "double", "stand")}
-    basic = basic_action(hand, dealer_card, legal)
-    play = basic
-    for (t0, d0), (index, action) in INDEX_PLAYS.items():
-        here = (t == t0) & (dealer == d0)
-        if (t0, d0) in ((15, 10), (16, 9), (16, 10)):
-            here = here & ~can["surrender"]
-        play = F.when(
-            here,
-            F.when((count >= index) & can[action], action).when((count < index) & can["hit"], "hit").otherwise(basic),
-        ).otherwise(play)
-    play = F.when(soft, basic).otherwise(play)
-    for d0, index in INDEX_SPLIT_TENS.items():
-        tens = is_pair(hand) & (F.element_at(hand, 1) == 10) & (dealer == d0)
-        play = F.when(can["split"] & tens & (count >= index), "split").otherwise(play)
-    for (t0, d0), index in INDEX_SURRENDER.items():
-        here = can["surrender"] & ~soft & (t == t0) & (dealer == d0)
-        play = F.when(here, F.when(count >= index, "surrender").otherwise("hit")).otherwise(play)
-    return play
+    """The basic action, overridden where a count index says so: each index table is looked up
+    once by total and dealer card."""
+
+    def can(action: Column | str) -> Column:
+        return F.array_contains(legal, action)
+
+    def decide(s: Column) -> Column:
+        basic, here = s["basic"], s["here"]
+        index = F.try_element_at(_by_hand(INDEX_PLAYS, lambda v: v[0]), here)
+        action = F.try_element_at(_by_hand(INDEX_PLAYS, lambda v: v[1]), here)
+        given_up = here.isin([100 * t + d for t, d in _SURRENDER_FIRST]) & can("surrender")
+        played = (
+            F.when((count >= index) & can(action), action).when((count < index) & can("hit"), "hit").otherwise(basic)
+        )
+        play = F.when(s["soft"] | index.isNull() | given_up, basic).otherwise(played)
+        tens = F.try_element_at(F.create_map(*[F.lit(x) for i in INDEX_SPLIT_TENS.items() for x in i]), s["dealer"])
+        splits = can("split") & is_pair(hand) & (F.element_at(hand, 1) == 10) & (count >= tens)
+        least = F.try_element_at(_by_hand(INDEX_SURRENDER, lambda v: v), here)
+        return (
+            F.when(can("surrender") & ~s["soft"] & least.isNotNull(), F.when(count >= least, "surrender").otherwise("hit"))
+            .when(F.coalesce(splits, F.lit(False)), "split")
+            .otherwise(play)
+        )
+
+    dealer = _upcard(dealer_card)
+    state = F.struct(
+        is_soft(hand).alias("soft"),
+        dealer.alias("dealer"),
+        (100 * total(hand) + dealer).alias("here"),
+        basic_action(hand, dealer_card, legal).alias("basic"),
+    )
+    return _bound(state, decide)
+
+
+def canonical_hand(hand: Column) -> Column:
+    """Cards in the one order that stands for all: by value, aces first."""
+    return F.array_sort(hand)
+
+
+def finished_order(hands: Column) -> Column:
+    """Finished hands (structs) in the one order that stands for all: surrendered, bust, natural,
+    total, wager; what else a struct holds doesn't count, and equal hands keep their places."""
+    keyed = F.transform(
+        hands,
+        lambda h, i: F.struct(
+            h["surrendered"].alias("a"), h["bust"].alias("b"), h["natural"].alias("c"), h["total"].alias("d"), h["wager"].alias("e"), i.alias("i"), h.alias("h")
+        ),
+    )
+    return F.transform(F.array_sort(keyed), lambda k: k["h"])
 
 
 def penetration_bin(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,33 +30,42 @@ def recorded_log_growth(outcomes: Column, fraction: Column) -> Column:
     return F.aggregate(outcomes, F.lit(0.0), lambda s, o: s + o["p"] * F.log1p(fraction * o["x"]))
 
 
-def _slope(outcomes: Column, fraction: Column) -> Column:
-    return F.aggregate(
-        outcomes, F.lit(0.0), lambda s, o: s + o["p"] * o["x"] / (1.0 + fraction * o["x"])
-    )
+def full_kelly(outcomes: Column, maximum: float = 1.0, steps: int = 80) -> Column:
+    """The fraction from 0 to the largest allowed whose growth is greatest: 0 without a positive
+    mean, never beyond what the worst outcome allows.
 
+    Growth is concave, so its slope s falls and Newton's step s / -s' leads to its root from
+    anywhere near it. Each step also tells on which side of the fraction the root lies; a
+    step that leaves what is left of the interval gives way to the middle of it.
+    """
+    worst = F.array_min(F.transform(outcomes, lambda o: o["x"]))
+    ruin = F.when(worst < 0, -1.0 / worst).otherwise(F.lit(float("inf")))
+    top = F.least(F.lit(float(maximum)), ruin * (1.0 - 1e-12))
 
-def full_kelly(outcomes: Column, maximum: float = 1.0, iterations: int = 100) -> Column:
-    """The fraction with the largest growth, by bisection of its slope: 0 without a positive
-    mean, never beyond what the worst outcome allows."""
-    least = F.aggregate(outcomes, F.lit(0.0), lambda s, o: F.least(s, o["x"]))
-    top = F.when(least < 0, F.least(F.lit(maximum), (-1.0 / least) * (1.0 - 1e-12))).otherwise(F.lit(maximum))
-
-    def halve(bounds: Column, _: Column) -> Column:
-        middle = (bounds["low"] + bounds["high"]) / 2
-        rising = _slope(outcomes, middle) > 0
-        return F.struct(
-            F.when(rising, middle).otherwise(bounds["low"]).alias("low"),
-            F.when(rising, bounds["high"]).otherwise(middle).alias("high"),
-        )
-
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(iterations)),
-        F.struct(F.lit(0.0).alias("low"), top.alias("high")),
-        halve,
-        lambda b: (b["low"] + b["high"]) / 2,
-    )
-    return F.when(mean(outcomes) <= 0, F.lit(0.0)).when(_slope(outcomes, top) >= 0, top).otherwise(found)
+    def slope(f: Column) -> Column:
+        """s and -s' at f."""
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+        def add(sums: Column, o: Column) -> Column:
+            t = o["x"] / (1.0 + f * o["x"])
+            return F.struct((sums["s"] + o["p"] * t).alias("s"), (sums["c"] + o["p"] * t * t).alias("c"))
+
+        return F.aggregate(outcomes, zero, add)
+
+    def step(at: Column, _: Column) -> Column:
+        def moved(g: Column) -> Column:
+            low = F.when(g["s"] > 0, at["f"]).otherwise(at["low"])
+            high = F.when(g["s"] > 0, at["high"]).otherwise(at["f"])
+            newton = at["f"] + F.try_divide(g["s"], g["c"])
+            inside = newton.isNotNull() & (newton >= low) & (newton <= high)
+            return F.struct(
+                F.when(inside, newton).otherwise((low + high) / 2).alias("f"), low.alias("low"), high.alias("high")
+            )
+
+        return F.transform(F.array(slope(at["f"])), moved)[0]
+
+    start = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("low"), top.alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda at: at["f"])
 
 
 def nearest(target: Column, grid: list[float]) -> Column:
@@ -66,10 +77,9 @@ def nearest(target: Column, grid: list[float]) -> Column:
 
 
 def linear_grid(least: float, most: float, step: float) -> list[float]:
-    """Values from least by step, rounded to ten places; the last is ``most``."""
-    steps = int((most - least) / step)
-    grid = [round(least + i * step, 10) for i in range(steps + 1)]
-    return grid if grid[-1] >= most else [*grid, most]
+    """Multiples of a step above ``least``, and both ends: decimals, so no sum drifts."""
+    first, last, by = (Decimal(str(x)) for x in (least, most, step))
+    return sorted({*map(float, (first + by * i for i in range(int((last - first) / by) + 1))), float(last)})
 
 
 #: The grids of bet fractions that are compared.
@@ -88,3 +98,10 @@ def candidate_grids() -> dict[str, list[float]]:
         "wider-cap": linear_grid(0.001, 0.04, 0.005),
         "hybrid": [0.001, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03],
     }
+
+
+def token_fraction(token: Column, fractions: dict[str, float]) -> Column:
+    """The bankroll fraction of a bet token; an unknown token is an error when run."""
+    known = F.create_map(*[F.lit(x) for item in fractions.items() for x in item])
+    found = F.try_element_at(known, token)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown bet token "), token)).cast("double"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
+
 Z95 = 1.96
 
 
@@ -75,25 +77,25 @@ def rank_at(rule: str, p: float, n: Column) -> Column:
 def numeric_summary(df: DataFrame, value: str, *keys: str, rule: str = "truncated") -> DataFrame:
     """n, min, mean, upper median, 95th percentile and max by key.
 
-    Equal values are counted first, so what is sorted in a key is its distinct values; a
-    running count finds the ranks, and no list of a group is ever built.
+    Equal values are counted first; running counts over ranges of the values find the ranks.
+    No list of a group is built, and no task sees all values of a key.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    ranked = counted.select(
-        *keys,
-        F.col(value).alias("v"),
-        "c",
-        F.sum("c").over(ordered).alias("upto"),
-        F.sum("c").over(whole).alias("n"),
-    )
+    counted = counted.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], F.col(value).alias("v"), "c")
+    names = [f"key{i}" for i in range(len(keys))]
+    totals = counted.groupBy(*names).agg(F.sum("c").alias("n")).select(*[F.col(k).alias(f"t_{k}") for k in names], "n")
+    ranked = running(counted, F.col("v"), [], {"upto": F.col("c")}, names)
+    on = F.lit(True)
+    for k in names:
+        on = on & F.col(k).eqNullSafe(F.col(f"t_{k}"))
+    # without keys the total is one row
+    ranked = ranked.join(totals if names else F.broadcast(totals), on)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("v")))
 
     n = F.col("n")
-    return ranked.groupBy(*keys).agg(
+    out = ranked.groupBy(*names).agg(
         F.sum("c").alias("count"),
         F.min("v").alias("minimum"),
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
@@ -101,6 +103,8 @@ def numeric_summary(df: DataFrame, value: str, *keys: str, rule: str = "truncate
         at(rank_at(rule, 0.95, n)).alias("p95"),
         F.max("v").alias("maximum"),
     )
+    rest = ("count", "minimum", "mean", "median", "p95", "maximum")
+    return out.select(*[F.col(f"key{i}").alias(k) for i, k in enumerate(keys)], *rest)
 
 
 def histogram_estimate(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import estimate, pooled, rank_at, verdict
+from ..functions.stats import estimate, numeric_summary, pooled, verdict
 
 
 def argmax(values: Column) -> Column:
@@ -75,13 +75,9 @@ def agreement(model: Column, control: Column, target: Column) -> list[Column]:
 
 
 def regret_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Mean, 95th percentile (ceiling rule, an exact discrete percentile) and maximum."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(value).alias("mean"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
-        F.max(value).alias("maximum"),
-    )
+    """Rows, mean, 95th percentile (ceiling rule) and maximum; no value may be null."""
+    out = numeric_summary(df, value, *keys, rule="ceiling")
+    return out.select(*keys, F.col("count").alias("rows"), "mean", "p95", "maximum")
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -117,7 +113,3 @@ def aggregated(slices: DataFrame) -> DataFrame:
     return out.withColumn("verdict", verdict(F.col("ci_low"), F.col("ci_high"), "model", "control")).withColumn(
         "fits", (F.col("gaps") == 0) & (F.col("seeds") == 1)
     )
-
-
-def percentile_rank(rule: str, p: float, n: Column) -> Column:
-    return rank_at(rule, p, n)

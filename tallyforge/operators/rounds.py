@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cards as rules
-from ..functions.hashing import text_key, uniform
+from ..functions.hashing import GAMMA, text_key, uniform
 
 # ------------------------------------------------------------------ exact recursions
 
@@ -145,6 +145,7 @@ def dealer_distributions(states: DataFrame) -> DataFrame:
 HIT, STAND, DOUBLE, SPLIT, SURRENDER = range(5)
 ACTIONS = ["hit", "stand", "double", "split", "surrender"]
 HANDS = 4
+_GAMMA = np.uint64(GAMMA)
 
 
 def _table(entries: dict[int, list[int]], rows: int) -> np.ndarray:
@@ -182,18 +183,30 @@ class Rollouts:
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
+    def below(self, who: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """A uniform number below each bound: outputs that would favour small ones are drawn
+        again."""
+        with np.errstate(over="ignore"):
+            self.state[who] += _GAMMA
+            value = self._mixed(self.state[who])
+            least = (np.uint64(0) - bound) % bound
+            again = np.flatnonzero(value < least)
+            while len(again):
+                self.state[who[again]] += _GAMMA
+                value[again] = self._mixed(self.state[who[again]])
+                again = again[value[again] < least[again]]
+        return value % bound
+
     def draw(self, who: np.ndarray, forbidden: np.ndarray | None = None) -> np.ndarray:
         """A card (1..10) for each rollout in ``who``; cards in ``forbidden`` (a mask of ten
         columns) can't come."""
-        with np.errstate(over="ignore"):
-            self.state[who] += np.uint64(0x9E3779B97F4A7C15)
         left = self.counts[who].astype(np.int64)
         if forbidden is not None:
             left = np.where(forbidden, 0, left)
         upto = np.cumsum(left, axis=1)
         if (upto[:, -1] <= 0).any():
             raise ValueError("a rollout ran out of cards")
-        pick = (self._mixed(self.state[who]) % upto[:, -1].astype(np.uint64)).astype(np.int64)
+        pick = self.below(who, upto[:, -1].astype(np.uint64)).astype(np.int64)
         card = (upto <= pick[:, None]).sum(axis=1)
         self.counts[who, card] -= 1
         return card + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import text_key, uniform
@@ -29,8 +29,11 @@ def apportion(total: int, weights: Sequence[float]) -> list[int]:
 
 
 def prefix(df: DataFrame, group: str, below: int) -> DataFrame:
-    """Groups numbered below a bound: subsets nest. An empty one is an error when run."""
-    return df.where(F.col(group) < below)
+    """Groups numbered below a bound: subsets nest. An empty one is an error."""
+    found = df.where(F.col(group) < below)
+    if found.isEmpty():
+        raise ValueError(f"no {group} is below {below}")
+    return found
 
 
 def shard(df: DataFrame, key: str, index: int, count: int) -> DataFrame:
@@ -123,7 +126,3 @@ def frequency_scores(df: DataFrame, vocabulary: DataFrame, token: str) -> DataFr
     """ln(count) of each token of the vocabulary; 0 for one never seen."""
     counts = df.groupBy(token).agg(F.count(F.lit(1)).alias("c"))
     return vocabulary.join(counts, token, "left").select(token, F.coalesce(F.ln("c"), F.lit(0.0)).alias("score"))
-
-
-def window_first(*partition: str, order: list[Column]) -> Window:
-    return Window.partitionBy(*partition).orderBy(*order)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import exists
+
 SPLITS = ("train", "validation", "test")
 _FRACTION = "struct<numerator: bigint, denominator: bigint>"
 _DISTRIBUTION = f"struct<outcomes: array<struct<profit: {_FRACTION}, probability: {_FRACTION}>>>"
@@ -108,9 +112,25 @@ def breakdown_rows(slices: DataFrame) -> DataFrame:
     return b.select("shoe_start", "category", "policy", F.explode("by_bin").alias("bin", "e")).select("shoe_start", "category", "policy", "bin", "e.*")
 
 
+def _canonical(c: F.Column, kind: T.DataType) -> F.Column:
+    """A value with the fields of all its structs, and the keys of its maps, in order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        value = F.struct(*[_canonical(c[f.name], f.dataType).alias(f.name) for f in fields])
+        return F.when(c.isNotNull(), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: _canonical(v, kind.valueType))))
+        return F.map_from_entries(entries)
+    return c
+
+
 def canonical_json(df: DataFrame) -> DataFrame:
-    """One JSON text a row, its top-level keys in order and absent values left out."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("value"))
+    """One JSON text a row, compact, keys in order at every level and absent values left out."""
+    whole = T.StructType([df.schema[c] for c in sorted(df.columns)])
+    parts = [_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in whole]
+    return df.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
 def write_decisions(decisions: DataFrame, folder: str) -> None:
@@ -142,15 +162,12 @@ def pinned(spark: SparkSession, folder: str, manifest: dict) -> None:
     """Write the manifest, or check that the one there is the same; else an error."""
     text = json.dumps(manifest, sort_keys=True, separators=(",", ":"))
     path = f"{folder}/manifest"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(place):
-        held = [r["value"] for r in spark.read.text(path).collect()]
-        if held != [text]:
-            raise ValueError("the folder holds another dataset")
-        return
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    if not exists(spark, path):
+        with contextlib.suppress(AnalysisException):  # another driver may have written it meanwhile
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    # whoever wrote, and if two wrote at once, what is there must be this and nothing else
+    if {r["value"] for r in spark.read.text(path).collect()} != {text}:
+        raise ValueError("the folder holds another dataset")
 
 
 def incomplete(manifest: DataFrame, shards: DataFrame) -> DataFrame:
