@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audits, games, returns, scoring, statistics, trajectories
+from .plans import audits, games, logs, returns, scoring, statistics, trajectories
 
 _ALL = {}
-for _part in (statistics, audits, scoring, trajectories, returns, games):
+for _part in (statistics, audits, scoring, trajectories, returns, games, logs):
     _ALL |= _part.QUERIES
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}

@@ -335,9 +335,23 @@ def simulate_rounds(counts, unavailable: int, seed: int, rollouts: int) -> np.nd
     return profit
 
 
-def simulate_action(counts, hand: tuple[int, ...], upcard: int, action: str, seed: int, rollouts: int, unavailable: int = 1) -> np.ndarray:
-    """Profits of one forced action, then the basic table; all actions of a state share the
-    seed and so the hole cards. The hole card is one of the unavailable ones."""
+def simulate_action(
+    counts,
+    hand: tuple[int, ...],
+    upcard: int,
+    action: str,
+    seed: int,
+    rollouts: int,
+    unavailable: int = 1,
+    wager: int = 2,
+    split: bool = False,
+    waiting: Iterable[tuple[int, ...]] = (),
+    finished: Iterable[tuple[bool, int, int]] = (),
+) -> np.ndarray:
+    """Profits, in half wagers, of the whole round after one forced action, then the basic
+    table; all actions of a state share the seed and so the hole cards. The hole card is one
+    of the unavailable ones. ``waiting`` hands come from the same split and are played after
+    this one; ``finished`` ones (surrendered, total, wager) meet the same dealer."""
     if sum(counts) - unavailable < 16:
         raise ValueError("a decision needs 16 cards")
     g = Rollouts(counts, seed, rollouts)
@@ -351,8 +365,15 @@ def simulate_action(counts, hand: tuple[int, ...], upcard: int, action: str, see
     hole = g.draw(every, forbidden)
     for _ in range(max(0, unavailable - 1)):
         g.draw(every)
-    for c in hand:
-        g.give(every, zero, np.full(rollouts, c))
+    finished, waiting = list(finished), list(waiting)
+    for k, (gone, total, own) in enumerate(finished):
+        g.hard[:, k], g.cards[:, k], g.wager[:, k], g.gone[:, k], g.done[:, k] = total, 3, own, gone, True
+    for k, held in enumerate([hand, *waiting], len(finished)):
+        for c in held:
+            g.give(every, zero + k, np.full(rollouts, c))
+        g.from_split[:, k] = split or bool(waiting)
+        g.wager[:, k] = wager if k == len(finished) else 2
+    g.hands[:], g.active[:] = len(finished) + 1 + len(waiting), len(finished)
     g.act(every, np.full(rollouts, ACTIONS.index(action)))
     g.play(every, up)
     return g.settle(every, up, hole)
@@ -416,8 +437,25 @@ class Round:
             self.seen.append(card)
         return card
 
+    def state(self, history: list[int], hands: list[dict], active: int) -> dict:
+        left = list(rules.SIX_DECKS)
+        for c in history + self.seen:
+            left[c - 1] -= 1
+        done = [
+            (h["gone"], _total(sum(h["cards"]), h["cards"].count(1))[0], int(2 * h["wager"])) for h in hands[:active]
+        ]
+        own = hands[active]
+        return {
+            "left": left,
+            "wager": int(2 * own["wager"]),
+            "split": own["split"],
+            "waiting": [sorted(h["cards"]) for h in hands[active + 1 :]],
+            "finished": sorted(done),
+        }
+
     def play(self, policy, history: list[int]) -> tuple[float, list[tuple]]:
-        """Profit in wagers, and (kind, hand, upcard, legal, choice) of each decision."""
+        """Profit in wagers, and (kind, hand, upcard, legal, choice, state) of each decision; the
+        state is the cards left unseen and what became of the round's other hands."""
         log: list[tuple] = []
         first, up, second = self.next(), self.next(), self.next()
         hole = self.next(visible=False)
@@ -426,7 +464,7 @@ class Round:
         if up == 1:
             legal = ["<INSURANCE>", "<NO_INSURANCE>"]
             choice = policy("insurance", [first, second], up, legal, history + self.seen)
-            log.append(("insurance", [first, second], up, legal, choice))
+            log.append(("insurance", [first, second], up, legal, choice, self.state(history, hands, 0)))
             if choice == legal[0]:
                 profit += 1.0 if hole == 10 else -0.5
         dealer_natural = {up, hole} == {1, 10}
@@ -449,7 +487,7 @@ class Round:
                 if not h["split"]:
                     legal.append("surrender")
             choice = policy("play", h["cards"], up, legal, history + self.seen)
-            log.append(("play", list(h["cards"]), up, legal, choice))
+            log.append(("play", list(h["cards"]), up, legal, choice, self.state(history, hands, i)))
             if choice == "hit":
                 h["cards"].append(self.next())
             elif choice == "double":
@@ -557,25 +595,38 @@ def shoe_rounds(shoe_rows: DataFrame) -> DataFrame:
 
 
 DECISION_DDL = "shoe_id long, round_index int, decision_index int, kind string, hand array<int>, upcard int, legal array<string>, target string"
+#: The situation of a decision in the one form that stands for all orders of its cards and hands.
+STATE_DDL = (
+    "left array<int>, wager int, split boolean, waiting array<array<int>>, "
+    "finished array<struct<surrendered: boolean, total: int, wager: int>>"
+)
 
 
-def shoe_decisions(shoe_rows: DataFrame) -> DataFrame:
-    """Labelled decisions of each shoe, numbered from 0: a bet first in each round."""
+def shoe_decisions(shoe_rows: DataFrame, with_state: bool = False) -> DataFrame:
+    """Decisions of each shoe, numbered from 0, with the table policy's choices: a bet first in
+    each round. ``with_state`` adds the situation of each, as in STATE_DDL."""
+    names = ["shoe_id", "round_index", "decision_index", "kind", "hand", "upcard", "legal", "target"]
+    of_state = ["left", "wager", "split", "waiting", "finished"]
 
     def run(frames):
         for f in frames:
             rows = []
             for s, c, cut in zip(f["shoe_id"], f["cards"], f["cut"]):
-                i = 0
-                for number, _, _, before, log in play_shoe([int(x) for x in c], int(cut)):
+                i, cards = 0, [int(x) for x in c]
+                for number, start, _, before, log in play_shoe(cards, int(cut)):
                     level = next(k for k, v in BET_OF.items() if v == bet_of(before))
-                    rows.append((s, number, i, "bet", [], None, list(BET_OF), level))
+                    left = list(rules.SIX_DECKS)
+                    for x in cards[1:start]:  # the burnt card stays unseen
+                        left[x - 1] -= 1
+                    rows.append((s, number, i, "bet", [], None, list(BET_OF), level, left, 2, False, [], []))
                     i += 1
-                    for kind, hand, up, legal, choice in log:
-                        rows.append((s, number, i, kind, hand, up, legal, choice))
+                    for kind, hand, up, legal, choice, state in log:
+                        rows.append((s, number, i, kind, hand, up, legal, choice, *(state[k] for k in of_state)))
                         i += 1
-            frame = pd.DataFrame(rows, columns=["shoe_id", "round_index", "decision_index", "kind", "hand", "upcard", "legal", "target"])
+            frame = pd.DataFrame(rows, columns=names + of_state)
             frame["upcard"] = frame["upcard"].astype("Int32")
-            yield frame
+            frame["finished"] = [[dict(zip(("surrendered", "total", "wager"), h)) for h in x] for x in frame["finished"]]
+            yield frame if with_state else frame[names]
 
-    return shoe_rows.select("shoe_id", "cards", "cut").mapInPandas(run, DECISION_DDL)
+    ddl = f"{DECISION_DDL}, {STATE_DDL}" if with_state else DECISION_DDL
+    return shoe_rows.select("shoe_id", "cards", "cut").mapInPandas(run, ddl)

@@ -211,8 +211,7 @@ SELECT user_id, n::INTEGER AS full, (n - cut)::INTEGER AS kept,
 
 
 def context_history(spark: SparkSession, d: str) -> DataFrame:
-    """A user's visible cards minus a hand of two (the cards 10 and 5), by value. All users;
-    CONTEXT_HISTORY covers those below 60 only."""
+    """A user's visible cards minus a hand of two (the cards 10 and 5), by value. All users."""
     e = load(spark, d, "events", "event_id", "user_id").withColumn("card", _card(F.col("event_id")))
     hand = e.select("user_id").distinct().withColumn("card", F.explode(F.array(F.lit(10), F.lit(5)))).select("user_id", "card")
     left = tokens.context_history(e, hand, "user_id", "event_id", "card")
@@ -220,7 +219,7 @@ def context_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 CONTEXT_HISTORY = """
-WITH e AS (SELECT event_id, user_id, least(event_id % 13 + 1, 10)::INTEGER AS card FROM events WHERE user_id < 60),
+WITH e AS (SELECT event_id, user_id, least(event_id % 13 + 1, 10)::INTEGER AS card FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, card ORDER BY event_id) AS i FROM e)
 SELECT user_id, event_id, card FROM n WHERE i > CASE WHEN card IN (5, 10) THEN 1 ELSE 0 END
 """
@@ -307,6 +306,19 @@ def dealer_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return rounds.dealer_distributions(states.repartition(10, "state")).select("state", "outcome", F.round("p", 9).alias("p"))
 
 
+_TWENTY_FOURS = ", ".join(f"CASE WHEN u = {v} THEN {c - 1} ELSE {c} END" for v, c in enumerate(cards.SIX_DECKS, 1))
+DEALER_OUTCOMES = f"""
+WITH RECURSIVE w(u, hard, ace, n, p, counts, done) AS (
+  SELECT u::BIGINT, u::BIGINT, u = 1, 1, 1.0::DOUBLE, [{_TWENTY_FOURS}], false FROM range(1, 11) t(u)
+  UNION ALL
+  SELECT u, h, a, m, q, list_transform(counts, lambda k, i: CASE WHEN i = c THEN k - 1 ELSE k END),
+    CASE WHEN m = 2 AND a AND h = 11 THEN true WHEN a AND h + 10 <= 21 THEN h + 10 >= 18 ELSE h >= 17 END
+  FROM (SELECT u, hard + c AS h, ace OR c = 1 AS a, n + 1 AS m, p * counts[c] / (312 - n) AS q, counts, c FROM w, range(1, 11) r(c) WHERE NOT done))
+SELECT u AS state, CASE WHEN n = 2 AND ace AND hard = 11 THEN 'natural' WHEN hard > 21 THEN 'bust' ELSE (CASE WHEN ace AND hard + 10 <= 21 THEN hard + 10 ELSE hard END)::VARCHAR END AS outcome,
+  round(sum(p), 9) AS p FROM w WHERE done GROUP BY 1, 2
+"""
+
+
 def round_rollouts(spark: SparkSession, d: str) -> DataFrame:
     """Mean and error of 20,000 rollouts from each of 16 compositions without some tens."""
     from ..functions.stats import Z95
@@ -343,7 +355,7 @@ QUERIES = {
     "q_shoes": (shoes, SHOES),
     "q_shoe_rounds": (shoe_rounds, None),
     "q_shoe_decisions": (shoe_decisions, None),
-    "q_dealer_outcomes": (dealer_outcomes, None),
+    "q_dealer_outcomes": (dealer_outcomes, DEALER_OUTCOMES),
     "q_round_rollouts": (round_rollouts, None),
 }
 
@@ -471,3 +483,63 @@ def baseline_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"q_baseline_accuracy": (baseline_accuracy, None)}
+
+
+def labelled_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of four shoes with values, errors and targets of 1,000 rollouts an action."""
+    from ..operators import labeling
+
+    decisions = rounds.shoe_decisions(rounds.shoes(spark, 4, 20250725).repartition(4, "shoe_id"), with_state=True)
+    out = labeling.labelled_decisions(decisions, 1_000, rounds.BET_OF)
+    values = F.transform("action_values", lambda a: F.concat_ws(":", a["action"], F.round(a["value"], 6), F.round(a["error"], 6)))
+    return out.select(
+        "shoe_id", "round_index", "decision_index", "kind", "target_token", "behavior_token", r("half_kelly").alias("half_kelly"), F.array_join(values, " ").alias("action_values")
+    )
+
+
+def _small_shoes(spark: SparkSession) -> DataFrame:
+    """Twelve shoes of some tens, nines, eights and twos."""
+    i = F.col("id").cast("int")
+    counts = [F.lit(0), 1 + i % 2, *[F.lit(0)] * 5, F.lit(2), 2 + F.floor(i / 4).cast("int"), F.lit(4)]
+    return spark.range(12).select(F.col("id").alias("state"), F.array(*counts).alias("counts"))
+
+
+def split_aces(spark: SparkSession, d: str) -> DataFrame:
+    """Exact value of splitting aces against a six in small shoes."""
+    from ..operators import solver
+
+    states = _small_shoes(spark).select("state", "counts", F.array(F.lit(1), F.lit(1)).alias("hand"), F.lit(6).alias("upcard"))
+    out = solver.solved_actions(states.repartition(4, "state")).where("action = 'split'")
+    return out.select("state", F.round("value", 9).alias("value"))
+
+
+SPLIT_ACES = """
+WITH RECURSIVE s AS (SELECT range AS state, [0, 1 + range % 2, 0, 0, 0, 0, 0, 2, 2 + range // 4, 4] AS counts FROM range(12)),
+a AS (SELECT state, list_transform(counts, lambda k, i: CASE WHEN i = h THEN k - 1 ELSE k END) AS counts, 6 + h AS hard, h = 1 AS ace, counts[h] / list_sum(counts) AS p FROM s, range(1, 11) t(h) WHERE counts[h] > 0),
+b AS (SELECT state, list_transform(counts, lambda k, i: CASE WHEN i = c THEN k - 1 ELSE k END) AS counts, hard, ace, p * counts[c] / list_sum(counts) AS p, 11 + c AS one FROM a, range(1, 11) t(c) WHERE counts[c] > 0),
+e AS (SELECT state, list_transform(counts, lambda k, i: CASE WHEN i = c THEN k - 1 ELSE k END) AS counts, hard, ace, p * counts[c] / list_sum(counts) AS p, one, 11 + c AS two FROM b, range(1, 11) t(c) WHERE counts[c] > 0),
+w(state, one, two, hard, ace, p, counts, done) AS (
+  SELECT state, one, two, hard, ace, p, counts, CASE WHEN ace AND hard + 10 <= 21 THEN hard + 10 >= 18 ELSE hard >= 17 END FROM e
+  UNION ALL
+  SELECT state, one, two, h, x, q, list_transform(counts, lambda k, i: CASE WHEN i = c THEN k - 1 ELSE k END), CASE WHEN x AND h + 10 <= 21 THEN h + 10 >= 18 ELSE h >= 17 END
+  FROM (SELECT state, one, two, hard + c AS h, ace OR c = 1 AS x, p * counts[c] / list_sum(counts) AS q, counts, c FROM w, range(1, 11) r(c) WHERE NOT done AND counts[c] > 0)),
+f AS (SELECT state, one, two, p, CASE WHEN hard > 21 THEN 0 WHEN ace AND hard + 10 <= 21 THEN hard + 10 ELSE hard END AS dealer FROM w WHERE done)
+SELECT state, round(sum(p * (sign(one - dealer) + sign(two - dealer))), 9) AS value FROM f GROUP BY 1
+"""
+
+
+def solved_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Exact profits of whole rounds in small shoes of eights, nines and tens."""
+    from ..operators import solver
+
+    i = F.col("id").cast("int")
+    counts = [*[F.lit(0)] * 7, 1 + i % 2, 2 + i % 3, 8 + i]
+    states = spark.range(8).select(F.col("id").alias("state"), F.array(*counts).alias("counts"), F.lit(1).alias("unavailable"))
+    return solver.solved_rounds(states.repartition(8, "state")).select("state", "half_units", F.round("p", 9).alias("p"))
+
+
+QUERIES |= {
+    "q_labelled_decisions": (labelled_decisions, None),
+    "q_split_aces": (split_aces, SPLIT_ACES),
+    "q_solved_rounds": (solved_rounds, None),
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import evaluation, sampling
+from ..operators.ordered import numbered
 from ..sources.tables import load
 from .statistics import r, rounded
 
@@ -119,15 +120,16 @@ SELECT draw, l_orderkey FROM p JOIN s ON low <= point AND point < high
 
 
 def epoch_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first 50 rows of epoch 3: a top-k report over a seeded permutation."""
+    """The place of each row in epoch 3: a seeded permutation, numbered without one task that
+    sees all rows."""
     e = load(spark, d, "events", "event_id", "event_type")
-    rows = sampling.epoch_order(e, 11, 3, "event_id").limit(50)
-    return rows.select("event_id", "event_type", r("u", 9).alias("u"))
+    rows = numbered(sampling.epoch_order(e, 11, 3, "event_id"), F.col("u"), ["event_id"], "place")
+    return rows.select("event_id", "event_type", r("u", 9).alias("u"), "place")
 
 
 EPOCH_ORDER = """
-SELECT event_id, event_type, round(('0x' || substr(sha256('14|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS u FROM events
-ORDER BY ('0x' || substr(sha256('14|' || event_id), 1, 8))::BIGINT, event_id LIMIT 50
+SELECT event_id, event_type, round(('0x' || substr(sha256('14|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS u,
+  row_number() OVER (ORDER BY ('0x' || substr(sha256('14|' || event_id), 1, 8))::BIGINT, event_id) - 1 AS place FROM events
 """
 
 

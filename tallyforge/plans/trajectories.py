@@ -111,8 +111,9 @@ def true_count_path(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events", "event_id", "user_id").withColumn("card", (F.col("event_id") % 13 + 1).cast("int"))
     e = e.withColumn("card", F.least("card", F.lit(10)))
     out = trajectory.running_counts(e, F.col("event_id"), [], F.col("card"), ["user_id"])
-    return out.where("seen < 312").select(
-        "event_id", "running_count", "seen", true_count(F.col("running_count"), F.col("seen")).alias("true_count"), F.array_join(F.transform("remaining", lambda x: x.cast("string")), ",").alias("remaining")
+    left = F.when(F.col("seen") < 312, true_count(F.col("running_count"), F.col("seen")))  # none without a card left
+    return out.select(
+        "event_id", "running_count", "seen", left.alias("true_count"), F.array_join(F.transform("remaining", lambda x: x.cast("string")), ",").alias("remaining")
     )
 
 
@@ -121,7 +122,7 @@ TRUE_COUNT_PATH = f"""
 WITH e AS (SELECT event_id, user_id, least(event_id % 13 + 1, 10) AS card FROM events),
 s AS (SELECT event_id, (sum(CASE WHEN card BETWEEN 2 AND 6 THEN 1 WHEN card IN (1, 10) THEN -1 ELSE 0 END) OVER w)::BIGINT AS rc, count(*) OVER w AS seen,
   array_to_string([{_SEEN}], ',') AS remaining FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, rc AS running_count, seen, floor(rc / ((312 - seen) / 52))::BIGINT AS true_count, remaining FROM s WHERE seen < 312
+SELECT event_id, rc AS running_count, seen, CASE WHEN seen < 312 THEN floor(rc / ((312 - seen) / 52))::BIGINT END AS true_count, remaining FROM s
 """
 
 QUERIES = {

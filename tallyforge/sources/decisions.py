@@ -44,10 +44,10 @@ def schema(ddl: str = DECISION_DDL) -> T.StructType:
 
 
 def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """All split files (<split>.jsonl); a row whose split isn't its file's is an error when
-    read, as is a line that isn't a decision."""
+    """All split files (<split>.jsonl, a file or a folder of parts); a row whose split isn't its
+    file's is an error when read, as is a line that isn't a decision."""
     paths = [f"{folder}/{s}.jsonl" for s in SPLITS]
-    lines = spark.read.text(paths).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1).alias("__file"))
+    lines = spark.read.text(paths).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1).alias("__file"))
     rows = lines.select(F.from_json("value", schema(), {"mode": "FAILFAST"}).alias("r"), "__file").select("r.*", "__file")
     checked = F.when(F.col("split") == F.col("__file"), F.col("split")).otherwise(
         F.raise_error(F.concat_ws(" ", F.lit("a row of split"), F.col("split"), F.lit("is in the file of"), F.col("__file")))
@@ -158,6 +158,14 @@ def write_jsonl(decisions: DataFrame, folder: str) -> None:
     )
 
 
+def write_split_files(decisions: DataFrame, folder: str) -> None:
+    """Canonical JSON lines as <split>.jsonl, which ``read_decisions`` reads; each is a folder of
+    parts, with the rows of a shoe together and in order."""
+    for split in SPLITS:
+        rows = decisions.where(F.col("split") == split).repartitionByRange("shoe_id").sortWithinPartitions("shoe_id", "decision_index")
+        canonical_json(rows).write.mode("errorifexists").text(f"{folder}/{split}.jsonl")
+
+
 def pinned(spark: SparkSession, folder: str, manifest: dict) -> None:
     """Write the manifest, or check that the one there is the same; else an error."""
     text = json.dumps(manifest, sort_keys=True, separators=(",", ":"))
