@@ -8,19 +8,16 @@ Documents with equal shingle sets form one class from the start. For the others:
    take the first places of the document's prefix.
 2. A set of n shingles needs ``ceil(threshold * n)`` common ones with any partner, so a
    document with fewer repeated shingles than that has none and drops out. For the others
-   the repeated shingles in the order (frequency, hash) make the prefix.
-3. Stars: of the sets that have a shingle in the shortest prefix in common, one is the centre;
-   each set is verified against the centre that it shares most prefix shingles with. That
-   finds most links of a group of copies with one pair for each member. It is done a few
-   times, with other centres, for the sets that share a shingle with another class.
-4. The rest: shingles that stand in the prefixes of several classes are joined on themselves,
-   never within a class. A set lengthens its prefix by what its candidates are estimated to
-   cost from the counted postings: l more places need l common prefix shingles (a pair with
-   enough overlap shares at least l of the two l-prefixes). Grouped candidates with that many
-   are verified, for each set and other class the most promising first, by the exact size of
-   the intersection.
-
-Classes are components of verified links only. No pair within a class found so far is made.
+   the repeated shingles in the order (frequency, hash) make the prefix; documents that
+   share a shingle of their shortest prefix meet in one candidate component.
+3. Within a component each document, in order of size, lengthens its prefix as long as the
+   estimated cost falls: l more places need l common prefix shingles with a candidate (a
+   pair with enough overlap shares at least l shingles of the two l-prefixes). Candidates
+   in the class that the document has reached already aren't verified again. The rest are
+   verified by the exact size of the intersection.
+
+A component beyond ``block_docs`` documents or ``block_tokens`` shingles is dealt out as pairs of blocks, every pair of
+blocks being one task, and the classes found are merged afterwards: exact at any size.
 
 Nothing is sampled or capped. Shingles are known by 52 bits of a 64-bit hash, sets by 128
 bits; a false match needs two different shingles of the two documents to agree in 52 bits.
@@ -52,8 +49,9 @@ _DROP = np.uint64(12)
 _SPAN = 52
 FLUSH = 1_000_000
 BUCKET = 4_000_000
+BLOCK_DOCS = 8_192
+BLOCK_TOKENS = 8_000_000
 MAX_LENGTHEN = 8
-STARS = 2
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -249,8 +247,7 @@ def _repeated_rows(batches):
                 yield batch_of(REPEATED_SCHEMA, [r["blob"]], [None], [None], [_pack_small(at)], [pack_sorted(h)], [_pack_small(freq)])
 
 
-VIABLE_DDL = "key binary, n long, head long, tokens array<long>"
-VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("head", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+VIABLE_SCHEMA = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("head", pa.int64()), ("m", pa.int64())])
 
 
 def _viable_rows(threshold: tuple[int, int]):
@@ -281,133 +278,207 @@ def _viable_rows(threshold: tuple[int, int]):
                     VIABLE_SCHEMA,
                     [ids[i].tobytes() for i in pick],
                     n_of[pick],
+                    [h[edge[i] : edge[i + 1]].tobytes() for i in pick],
                     (repeated - need + 1)[pick],
-                    [h[edge[i] : edge[i + 1]].astype(np.int64) for i in pick],
+                    repeated[pick],
                 )
 
     return run
 
 
-# ------------------------------------------------------------- sets -> verified links
-
-
-def _postings(sets: DataFrame, classes: DataFrame | None, lengthen: int) -> DataFrame:
-    """Places of the prefixes, up to ``lengthen`` ones longer than the shortest: token, id, class,
-    n, level (the least l whose prefix has the place) and most (the greatest l that the set
-    has enough shingles for)."""
-    m = F.size("tokens")
-    rows = sets.select(
-        "id",
-        "n",
-        "head",
-        F.least(m - F.col("head") + 1, F.lit(lengthen)).cast("int").alias("most"),
-        (m + 8).alias("cost"),
-        F.posexplode(F.slice("tokens", F.lit(1), (F.col("head") + lengthen - 1).cast("int"))).alias("place", "token"),
-    ).select("token", "id", "n", "most", "cost", F.greatest(F.col("place") - F.col("head") + 2, F.lit(1)).cast("int").alias("level"))
-    if classes is None:
-        return rows.withColumn("class", F.col("id"))
-    return rows.join(classes, "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root")
-
-
-def _verified(sets: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of a table of pairs (a, b) those that link, by all their repeated shingles."""
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(sized(pairs), "a")
-    two = sets.select("id", "n", "tokens").join(sized(pairs.select(F.col("b").alias("id"))), "id", "left_semi")
-    overlap = F.size(F.array_intersect("ta", "tokens"))
-    both = one.join(two, F.col("b") == F.col("id")).select("a", "b", "na", "n", overlap.alias("o"))
-    return materialise(both.where(linked(F.col("o"), F.col("na"), F.col("n"), threshold)).select("a", "b"), "jaccard-links")
-
-
-def _star_pairs(postings: DataFrame, salt: int) -> DataFrame:
-    """Each set with the centre, of another class, that it shares most prefix shingles with.
-    The centre of a shingle is the set whose number is mixed to the least."""
-    rank = F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), "id", "class")
-    centres = materialise(  # as a table: Spark can then split the join with a hot shingle
-        postings.groupBy("token")
-        .agg(F.min(rank).alias("c"), F.min("class").alias("low"), F.max("class").alias("high"))
-        .where("low < high")
-        .select("token", F.col("c.id").alias("centre"), F.col("c.class").alias("centre_class")),
-        "jaccard-centres",
-    )
-    shared = postings.join(centres, "token").where("class <> centre_class").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("times"))
-    best = shared.groupBy("id").agg(F.max(F.struct("times", "centre")).alias("c"))
-    return best.select(F.col("id").alias("a"), F.col("c.centre").alias("b"))
-
-
-def _candidates(postings: DataFrame, threshold: tuple[int, int], lengthen: int) -> DataFrame:
-    """Pairs (a, b) of sets of different classes, b the smaller, that share as many prefix
-    shingles as a's prefix was lengthened for; with b's class and the number shared."""
-    mixed = materialise(
-        postings.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("low"), F.max("class").alias("high"))
-        .where("low < high")
-        .select("token", "df"),
-        "jaccard-mixed",
-    )
-    own = materialise(postings.join(mixed, "token"), "jaccard-postings")
-    upto = [F.sum(F.when(F.col("level") <= k, F.col("df")).otherwise(0)).alias(f"s{k}") for k in range(1, lengthen + 1)]
-    sums = own.groupBy("id").agg(F.max("most").alias("most"), F.max("cost").alias("cost"), *upto)
-    options = [
-        F.when(F.col("most") >= k, F.struct((F.col(f"s{k}") + F.col(f"s{k}") / k * F.col("cost")).alias("cost"), F.lit(k).alias("l")))
-        for k in range(1, lengthen + 1)
-    ]
-    depth = sums.select("id", F.array_min(F.array_compact(F.array(*options)))["l"].alias("l"))
-    probes = own.join(depth, "id").where("level <= l").select("token", "id", "n", "l", "class")
-    held = own.select("token", F.col("class").alias("other")).distinct()
-    other = own.select("token", F.col("class").alias("other"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"))
+def _unique_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 16-byte ids, where each is first, and each entry's place among them."""
+    two = ids.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    s = two[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]).any(axis=1)
+    to = np.empty(len(s), np.int64)
+    to[order] = np.cumsum(fresh) - 1
+    return ids[order[fresh]], order[fresh], to
+
+
+# --------------------------------------------------- prefixes -> candidate components
+
+EDGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("least", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _stars(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries sorted by (h, doc): each hash, its least document, and distinct edges from
+    the other documents to the least one, thinned to a forest towards the smallest."""
+    starts = _runs(h)
+    least = doc[starts[:-1]]
+    low = np.repeat(least, np.diff(starts))
+    label = np.arange(int(doc.max()) + 1 if len(doc) else 0)
+    while True:  # each document takes the smallest label in its buckets
+        old = label.copy()
+        value = np.minimum.reduceat(label[doc], starts[:-1]) if len(doc) else label[:0]
+        np.minimum.at(label, doc, np.repeat(value, np.diff(starts)))
+        np.minimum.at(label, low, label[doc])
+        label = label[label]
+        if (label == old).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return h[starts[:-1]], least, moved, label[moved]
+
+
+def _prefix_rows(buckets: int):
+    """Edges within this task's documents, and each prefix shingle with one document."""
+
+    def run(batches):
+        held: list[tuple[bytes, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            if not held:
+                return
+            held.sort(key=lambda x: x[0])
+            lengths = np.array([len(x) for _, x in held])
+            h, doc = np.concatenate([x for _, x in held]), np.repeat(np.arange(len(held)), lengths)
+            order = np.argsort(h, kind="stable")
+            hashes, least, a, b = _stars(h[order], doc[order])
+            ids = [k for k, _ in held]
+            for lo in range(0, len(a), 10_000):
+                x, y = a[lo : lo + 10_000], b[lo : lo + 10_000]
+                nothing = [None] * len(x)
+                yield batch_of(EDGE_SCHEMA, nothing, nothing, nothing, [ids[i] for i in x], [ids[i] for i in y])
+            edge = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+            table = np.frombuffer(b"".join(ids), dtype="V16")
+            for bucket in np.flatnonzero(np.diff(edge)):
+                lo, hi = edge[bucket], edge[bucket + 1]
+                yield batch_of(EDGE_SCHEMA, [int(bucket)], [pack_sorted(hashes[lo:hi])], [table[least[lo:hi]].tobytes()], [None], [None])
+            held, size = [], 0
+
+        for b in batches:
+            for key, tokens, head in zip(*(b.column(c) for c in ("key", "tokens", "head"))):
+                prefix = np.frombuffer(tokens.as_py(), np.uint64)[: head.as_py()]
+                held.append((key.as_py(), prefix))
+                size += len(prefix)
+                if size >= FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+PAIR_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _bucket_edges(batches):
+    for _, rows in row_groups(batches, ("bucket",)):
+        h, ids = [], []
+        for r in rows:
+            h.append(unpack_sorted(r["h"]))
+            ids.append(np.frombuffer(r["least"], dtype="V16"))
+        own, _, doc = _unique_ids(np.concatenate(ids))
+        h = np.concatenate(h)
+        order = np.lexsort((doc, h))
+        _, _, a, b = _stars(h[order], doc[order])
+        for lo in range(0, len(a), 10_000):
+            yield batch_of(PAIR_SCHEMA, [own[i].tobytes() for i in a[lo : lo + 10_000]], [own[i].tobytes() for i in b[lo : lo + 10_000]])
+
+
+# ------------------------------------------------------------------------ components
+
+
+def link_classes(
+    tokens: list[np.ndarray], n: np.ndarray, head: np.ndarray, side: np.ndarray | None, threshold: tuple[int, int]
+) -> np.ndarray:
+    """Class label of each set: the sets reachable by links share one.
+
+    ``tokens`` are the repeated shingles in the global order; ``head`` is the length of the
+    shortest prefix. With ``side``, only pairs of different sides are looked at.
+    """
+    count = len(tokens)
+    order = np.lexsort((np.arange(count), n))  # small sets first
+    label = np.arange(count)
+    if count < 2:
+        return label
+    lengths = np.array([len(t) for t in tokens])
+    _, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    ids_of = [ids[first[i] : first[i + 1]] for i in range(count)]
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+    # postings of all prefixes, with the level that each place stands for
+    longest = np.minimum(lengths, head + MAX_LENGTHEN - 1)
+    owner = np.repeat(np.arange(count), longest)
+    place = np.concatenate([np.arange(m) for m in longest])
+    token = np.concatenate([ids_of[i][: longest[i]] for i in range(count)])
+    level = np.maximum(place - head[owner] + 2, 1)
+    sort = np.argsort(token, kind="stable")
+    token, owner, level = token[sort], owner[sort], level[sort]
+    edge = np.searchsorted(token, np.arange(int(ids.max()) + 2))
+    mark = np.zeros(int(ids.max()) + 1, bool)
     num, den = threshold
-    met = (
-        materialise(probes.join(held, "token").where("class <> other"), "jaccard-probes")
-        .join(other, ["token", "other"])
-        .where("lb <= l")
-        .where((F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("id"))))
-        .where(den * F.col("nb") >= num * F.col("n"))
-    )
-    grouped = met.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"), F.max("l").alias("l"), F.max("other").alias("other"))
-    return materialise(grouped.where("times >= l").select("a", "b", "other", "times"), "jaccard-candidates")
-
-
-def linked_sets(sets: DataFrame, threshold: tuple[int, int], stars: int = STARS, lengthen: int = MAX_LENGTHEN) -> DataFrame:
-    """Classes of ``sets`` (id, n, head, tokens in the global order): id, root for each set that
-    links with another."""
-    links = None
-    classes = None
-
-    def add(found: DataFrame) -> None:
-        nonlocal links, classes
-        if classes is not None and found.isEmpty():
-            return
-        links = found if links is None else links.unionByName(found)
-        nodes = connected(links)
-        classes = materialise(nodes.select(F.col("key").alias("id"), "root"), "jaccard-roots")
-
-    for salt in range(stars):
-        pairs = materialise(_star_pairs(_postings(sets, classes, 1), salt), "jaccard-stars")
-        if pairs.isEmpty():
-            return classes if classes is not None else sets.select("id", F.col("id").alias("root")).limit(0)
-        add(_verified(sets, pairs, threshold))
-    found = _candidates(_postings(sets, classes, lengthen), threshold, lengthen)
-    if found.isEmpty():
-        return classes
-    first = found.groupBy("a", "other").agg(F.max(F.struct("times", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
-    first = materialise(first, "jaccard-first")
-    add(_verified(sets, first, threshold))
-    of = lambda name: classes.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
-    rest = found.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = materialise(rest.where(apart).select("a", "b"), "jaccard-rest")
-    if not rest.isEmpty():
-        add(_verified(sets, rest, threshold))
-    return classes
-
-
-def jaccard_classes(docs: DataFrame, k: int = K, threshold: tuple[int, int] = THRESHOLD, stars: int = STARS, lengthen: int = MAX_LENGTHEN) -> DataFrame:
+    for i in order:
+        mine = ids_of[i]
+        lists = [slice(edge[t], edge[t + 1]) for t in mine[: head[i]]]
+        who = np.concatenate([owner[s] for s in lists])
+        deep = np.concatenate([level[s] for s in lists])
+        best, best_cost, depth = None, np.inf, 1
+        while True:  # lengthen the prefix while that is estimated to cost less
+            seen = np.bincount(who[deep <= depth], minlength=count)
+            found = np.flatnonzero(seen >= depth)
+            cost = len(who) + len(found) * (len(mine) + 8)
+            if cost >= best_cost:
+                break
+            best, best_cost = found, cost
+            more = head[i] + depth - 1
+            if depth == MAX_LENGTHEN or more >= len(mine):
+                break
+            s = slice(edge[mine[more]], edge[mine[more] + 1])
+            who, deep = np.concatenate([who, owner[s]]), np.concatenate([deep, level[s]])
+            depth += 1
+        found = best[rank[best] < rank[i]]
+        found = found[den * n[found] >= num * n[i]]
+        if side is not None:
+            found = found[side[found] != side[i]]
+        found = found[label[found] != label[i]]
+        if not len(found):
+            continue
+        mark[mine] = True
+        found = found[np.argsort(-n[found], kind="stable")]
+        while len(found):
+            j, found = found[0], found[1:]
+            if linked(int(mark[ids_of[j]].sum()), int(n[i]), int(n[j]), threshold):
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+                found = found[label[found] != low]
+        mark[mine] = False
+    return label
+
+
+def _component_rows(threshold: tuple[int, int]):
+    def run(batches):
+        for (_, i, j), rows in row_groups(batches, ("comp", "i", "j")):
+            rows = list({r["key"]: r for r in rows}.values())  # a set may come from several blobs
+            rows.sort(key=lambda r: r["key"])
+            tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+            n, head = np.array([r["n"] for r in rows]), np.array([r["head"] for r in rows])
+            side = np.array([r["block"] for r in rows]) if i != j else None
+            label = link_classes(tokens, n, head, side, threshold)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield batch_of(PAIR_SCHEMA, [rows[x]["key"] for x in moved], [rows[label[x]]["key"] for x in moved])
+
+    return run
+
+
+def jaccard_classes(
+    docs: DataFrame,
+    k: int = K,
+    threshold: tuple[int, int] = THRESHOLD,
+    block_docs: int = BLOCK_DOCS,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
-        return _classes(docs, k, threshold, stars, lengthen)
+        return _classes(docs, k, threshold, block_docs, block_tokens)
 
 
-def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], stars: int, lengthen: int) -> DataFrame:
+def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], block_docs: int, block_tokens: int) -> DataFrame:
     spark = docs.sparkSession
     docs = settled(has_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), "jaccard-input")
     slim = materialise(docs.mapInArrow(released(_doc_rows(k)), "doc_id long, n long, key binary"), "jaccard-docs")
@@ -421,14 +492,53 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], stars: int, le
         .sortWithinPartitions("bucket", "kind", "blob")
         .mapInArrow(released(_repeated_rows), "blob long, ids binary, sizes binary, at binary, h binary, df binary")
     )
-    viable = repeated.repartition(parts, "blob").sortWithinPartitions("blob").mapInArrow(released(_viable_rows(threshold)), VIABLE_DDL)
-    # a set that is in several blobs comes from each
-    sets = viable.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id())
-    sets = materialise(sets, "jaccard-sets")
-    classes = linked_sets(sets, threshold, stars, lengthen)
-    root = F.unhex(F.lpad(F.hex("root"), 16, "0"))  # eight bytes: no set's key has so few
-    named = materialise(sets.select("id", "key").join(classes, "id").select("key", root.alias("root")), "jaccard-classes")
-    rows = slim.join(named, "key", "left").withColumn("class", F.coalesce("root", "key"))
+    viable = materialise(
+        repeated.repartition(parts, "blob")
+        .sortWithinPartitions("blob")
+        .mapInArrow(released(_viable_rows(threshold)), "key binary, n long, tokens binary, head long, m long"),
+        "jaccard-viable",
+    )
+    stars = materialise(
+        viable.select("key", "tokens", "head").mapInArrow(
+            released(_prefix_rows(parts)), "bucket int, h binary, least binary, a binary, b binary"
+        ),
+        "jaccard-prefixes",
+    )
+    edges = stars.where("a is not null").select("a", "b").union(
+        stars.where("bucket is not null")
+        .select("bucket", "h", "least")
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(released(_bucket_edges), "a binary, b binary")
+    )
+    comps = connected(edges)
+    lengths = viable.groupBy("key").agg(F.max("m").alias("m"))
+    sizes = comps.join(lengths, "key").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("m").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("size") / block_docs), F.ceil(F.col("total") / block_tokens))
+    grouped = (
+        comps.join(sizes, "root")
+        .withColumn("blocks", blocks.cast("int"))
+        .join(viable.drop("m"), "key")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.col("root").alias("comp"),
+            F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j"),
+            "block",
+            "key",
+            "n",
+            "tokens",
+            "head",
+        )
+    )
+    links = (
+        grouped.repartition(parts, "comp", "i", "j")
+        .sortWithinPartitions("comp", "i", "j")
+        .mapInArrow(released(_component_rows(threshold)), "a binary, b binary")
+    )
+    classes = materialise(connected(links), "jaccard-classes")
+    rows = slim.join(classes, "key", "left").withColumn("class", F.coalesce("root", "key"))
     # as tables: Spark can split the joins, and a class may hold any share of the rows
     rows = materialise(rows.select("doc_id", "n", "class"), "jaccard-rows")
     least = materialise(

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -63,10 +64,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("stars, lengthen", [(J.STARS, J.MAX_LENGTHEN), (0, 1), (0, J.MAX_LENGTHEN), (1, 3)])
-def test_against_brute_force(docs, stars, lengthen):
-    rows = corpus(stars + lengthen, 160)
-    assert found(J.jaccard_classes(docs(rows), stars=stars, lengthen=lengthen)) == brute(rows)
+@pytest.mark.parametrize("block, tokens", [(J.BLOCK_DOCS, J.BLOCK_TOKENS), (3, J.BLOCK_TOKENS), (J.BLOCK_DOCS, 300)])
+def test_against_brute_force(docs, block, tokens):
+    rows = corpus(block + tokens, 160)
+    assert found(J.jaccard_classes(docs(rows), block_docs=block, block_tokens=tokens)) == brute(rows)
 
 
 def test_nulls_empties_repeats_long_and_unicode(docs):
@@ -105,43 +106,40 @@ def test_one_row_of_each_class_stays(docs):
     assert found(clash) == brute(rows)
 
 
-@pytest.mark.parametrize("seed, stars, lengthen", [(1, 0, 8), (2, 0, 2), (3, 2, 8), (4, 0, 8)])
-def test_links_of_random_sets(spark, seed, stars, lengthen):
-    """Random sets over few elements, many of them near the threshold: no link is lost."""
-    rng = random.Random(seed)
-    base = [rng.sample(range(40), rng.randint(1, 24)) for _ in range(12)]
-    sets = []
-    for _ in range(150):
-        x = set(rng.choice(base))
-        for _ in range(rng.randint(0, 4)):
-            x ^= {rng.randrange(40)}
-        sets.append(frozenset(x))
-    sets = sorted({x for x in sets if x}, key=sorted)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 25), min_size=0, max_size=20), min_size=2, max_size=14), st.integers(0, 2))
+def test_link_classes_is_exact(raw, depth):
+    """Random sets: the adaptive prefixes lose no link. ``head`` may be longer than needed."""
+    sets = [sorted(set(s)) for s in raw if s]
+    if len(sets) < 2:
+        return
     df = {}
-    for x in sets:
-        for e in x:
-            df[e] = df.get(e, 0) + 1
-    rows = []
-    for i, x in enumerate(sets):
-        tokens = sorted((e for e in x if df[e] > 1), key=lambda e: (df[e], e))
-        need = J.needed(len(x), J.THRESHOLD)
-        if len(tokens) >= need:
-            rows.append((i, len(x), len(tokens) - need + 1, tokens))
-    table = spark.createDataFrame(rows, "id long, n long, head long, tokens array<long>")
-    got = {r["id"]: r["root"] for r in J.linked_sets(table, J.THRESHOLD, stars, lengthen).collect()}
-    label = {r[0]: r[0] for r in rows}
+    for s in sets:
+        for x in s:
+            df[x] = df.get(x, 0) + 1
+    n = np.array([len(s) for s in sets])
+    tokens = [np.array(sorted((x for x in s if df[x] > 1), key=lambda x: (df[x], x)), np.uint64) for s in sets]
+    need = J.needed(n, J.THRESHOLD)
+    good = [i for i in range(len(sets)) if len(tokens[i]) >= need[i]]
+    if len(good) < 2:
+        return
+    head = np.array([len(tokens[i]) - need[i] + 1 for i in good])
+    label = J.link_classes([tokens[i] for i in good], n[good], head, None, J.THRESHOLD)
+    parent = list(range(len(good)))
 
     def root(i):
-        while label[i] != i:
-            i = label[i]
+        while parent[i] != i:
+            i = parent[i]
         return i
 
-    for a, *_ in rows:
-        for b, *_ in rows:
-            if b < a and J.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]), J.THRESHOLD):
-                label[root(a)] = root(b)
-    pairs = lambda of: {(a, b) for a, *_ in rows for b, *_ in rows if of(a) == of(b)}
-    assert pairs(root) == pairs(lambda i: got.get(i, i)) and len(pairs(root)) > len(rows)
+    for a in range(len(good)):
+        for b in range(a):
+            o = len(set(sets[good[a]]) & set(sets[good[b]]))
+            if J.linked(o, len(sets[good[a]]), len(sets[good[b]]), J.THRESHOLD):
+                parent[root(a)] = root(b)
+    for a in range(len(good)):
+        for b in range(a):
+            assert (label[a] == label[b]) == (root(a) == root(b))
 
 
 @settings(max_examples=80, deadline=None)
