@@ -49,7 +49,7 @@ _SPECIAL = "\\*?[]{}"
 
 def literal(path: str) -> str:
     """A path for readers that take patterns, with the characters of patterns escaped."""
-    return "".join(f"\\{c}" if c in _SPECIAL else c for c in path.rstrip("/"))
+    return "".join(f"\\{c}" if c in _SPECIAL else c for c in path)
 
 
 def glob_of(path: str) -> str:

@@ -64,10 +64,11 @@ def test_drop_with_columns_of_its_own_names(docs, names):
     assert out.columns == table.columns and out.count() == len({t or "" for _, t in ROWS})
 
 
-def test_paths_with_characters_of_patterns(docs, tmp_path):
-    place = tmp_path / "a[b]{c,d}*?" / "documents.parquet"
+@pytest.mark.parametrize("name", ["a[b]{c,d}*?/documents.parquet", "out/0", "a-"])
+def test_paths_with_characters_of_patterns(docs, tmp_path, name):
+    place = tmp_path / name
     docs(ROWS).coalesce(1).write.parquet(f"file://{tmp_path}/plain")
-    place.parent.mkdir()
+    place.parent.mkdir(exist_ok=True)
     (tmp_path / "plain").rename(place)
     spark = docs(ROWS).sparkSession
     check(X.exact_dedup(spark, f"file://{place}"), ROWS)
