@@ -48,8 +48,9 @@ def split_of(key: Column, train: int = 80, validation: int = 10, buckets: int =
     return F.when(b < train, "train").when(b < train + validation, "validation").otherwise("test")
 
 
-def _product(x: Column, by: int) -> Column:
-    """Low 64 bits of a product, from 32-bit halves so that nothing overflows."""
+def product(x: Column, by: int) -> Column:
+    """Low 64 bits of a product of a long, from 32-bit halves so that nothing overflows. ``x`` stands
+    in it ten times: a long expression should be a column of an earlier ``select``."""
     low, high = by & 0xFFFFFFFF, by >> 32
     mask = F.lit(0xFFFFFFFF)
     a, b = x.bitwiseAND(mask), F.shiftrightunsigned(x, 32)
@@ -78,6 +79,6 @@ def _plus(x: Column, by: int) -> Column:
 def splitmix64(x: Column) -> Column:
     """The SplitMix64 output for state ``x`` (a long taken as unsigned), as a long."""
     v = _plus(x, GAMMA)
-    v = _product(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), MIX_1)
-    v = _product(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), MIX_2)
+    v = product(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), MIX_1)
+    v = product(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), MIX_2)
     return v.bitwiseXOR(F.shiftrightunsigned(v, 31))

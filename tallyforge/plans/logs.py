@@ -274,9 +274,10 @@ SELECT total, max(n) FILTER (WHERE i = 0) AS train, max(n) FILTER (WHERE i = 1)
 
 
 def splitmix64(spark: SparkSession, d: str) -> DataFrame:
-    """SplitMix64 outputs for states spread over 64 bits."""
+    """SplitMix64 outputs for states spread over 64 bits: multiples modulo 2^64, of ids of any size."""
     e = load(spark, d, "events", "event_id")
-    return e.select("event_id", F.hex(hashing.splitmix64(F.col("event_id") * 92233720368547)).alias("output"))
+    e = e.select("event_id", hashing.product(F.col("event_id").cast("long"), 92233720368547).alias("state"))
+    return e.select("event_id", F.hex(hashing.splitmix64(F.col("state"))).alias("output"))
 
 
 _TWO = "18446744073709551616::UHUGEINT"
